@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.orphans import orphans
+from ..operators.shred import ANALYSIS, parse, shred
 from ..operators.spatial import near_or_inside
 from ..tables import known, layer_key, layer_keys, micros, table
 
@@ -14,6 +15,47 @@ PAD_REACH = 0.25
 MIL = 0.0254
 
 
+def solution_tables(spark: SparkSession, folder: str, want: set[str] | None = None) -> dict[str, DataFrame]:
+    """The flat tables of the analysis responses. A failed analysis has its own row and no layers."""
+    rows = table(spark, folder, "solutions").select("solution_id", "payload")
+    once = rows.filter("solution_id is not null").dropDuplicates(["solution_id"]).unionByName(rows.filter("solution_id is null"))
+    parsed = once.select("solution_id", parse("payload", "result", "layer_solutions").alias("response"))
+    failed = F.coalesce(~F.try_variant_get("response", "$.success", "boolean"), F.lit(False))
+    kept = parsed if want == {"analysis"} else parsed.filter(~failed)
+    return shred(kept, "solution_id", "response", ANALYSIS, "analysis", want)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per triangle of the solved meshes."""
+    triangles = solution_tables(spark, folder, {"triangle"})["triangle"].filter("role = 'meshes'")
+    return triangles.select("solution_id", F.col("layer_no"), "mesh_no", "triangle_no", "v0", "v1", "v2")
+
+
+def p2_triangles(spark: SparkSession, folder: str) -> DataFrame:
+    """All triangles with the values kept per triangle; ``role`` tells solved from disconnected meshes."""
+    return solution_tables(spark, folder, {"triangle"})["triangle"]
+
+
+def p2_vertices(spark: SparkSession, folder: str) -> DataFrame:
+    """All vertices with their potentials."""
+    return solution_tables(spark, folder, {"vertex"})["vertex"]
+
+
+def p2_meshes(spark: SparkSession, folder: str) -> DataFrame:
+    """All meshes with the inlined mesh quality."""
+    return solution_tables(spark, folder, {"mesh"})["mesh"]
+
+
+def p2_layers(spark: SparkSession, folder: str) -> DataFrame:
+    """All layers of the solutions."""
+    return solution_tables(spark, folder, {"layer"})["layer"]
+
+
+def p2_analyses(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per readable response with the inlined solver information."""
+    return solution_tables(spark, folder, {"analysis"})["analysis"]
+
+
 def located_pads(spark: SparkSession, folder: str) -> DataFrame:
     """Pads with coordinates in millimetres."""
     pads = table(spark, folder, "pads")
@@ -60,9 +102,37 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return net_orphans(spark, folder).groupBy("ref_table", "ref_month").agg(F.count("*").alias("orphans"), F.countDistinct("board_id", "net_name").alias("missing_nets"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report}
-
-_ONE = "select distinct on ({key}) * from {table}"
+QUERIES = {"p2_found": p2_found, "p2_triangles": p2_triangles, "p2_vertices": p2_vertices, "p2_meshes": p2_meshes, "p2_layers": p2_layers, "p2_analyses": p2_analyses, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report}
+
+# Opens JSON text and lone objects in the way the operator defines, level by level.
+_J = "case when json_type({x}) = 'VARCHAR' then try_cast(json_extract_string({x}, '$') as json) else {x} end"
+_L = "case json_type({x}) when 'ARRAY' then cast({x} as json[]) when 'OBJECT' then [{x}] else [] end"
+_P2 = f"""
+with recursive once as (select distinct on (solution_id) solution_id, try_cast(regexp_replace(payload, '^[^\\[{{"]+', '') as json) j from solutions),
+opened as (select solution_id, {_J.format(x='j')} j from once),
+taken as (select solution_id, case when json_type(j) = 'OBJECT' and json_type(j, '$.result') <> 'NULL' then json_extract(j, '$.result') else j end j from opened),
+docs as (select solution_id, {_J.format(x='j')} j from taken),
+good as (select solution_id, case json_type(j) when 'ARRAY' then j when 'OBJECT' then json_extract(j, '$.layer_solutions') end ls from docs
+         where j is not null and not (json_type(j) = 'OBJECT' and coalesce(json_extract_string(j, '$.success') = 'false', false))),
+ls as (select solution_id, {_J.format(x='ls')} ls from good),
+l0 as (select solution_id, unnest({_L.format(x='ls')}) l, generate_subscripts({_L.format(x='ls')}, 1) - 1 layer_no from ls),
+layers as (select solution_id, layer_no, {_J.format(x='l')} l from l0 where json_type(l) <> 'NULL'),
+roles as (select 'meshes' as "role" union all select 'disconnected_meshes'),
+m0 as (select solution_id, layer_no, "role", json_extract(l, '$.' || "role") m from layers, roles),
+m1 as (select solution_id, layer_no, "role", {_J.format(x='m')} m from m0),
+m2 as (select solution_id, layer_no, "role", unnest({_L.format(x='m')}) m, generate_subscripts({_L.format(x='m')}, 1) - 1 mesh_no from m1),
+meshes as (select solution_id, layer_no, "role", mesh_no, {_J.format(x='m')} m from m2 where json_type(m) <> 'NULL'),
+t0 as (select *, json_extract(m, '$.triangles') t, json_extract(m, '$.power_densities') pw, json_extract(m, '$.current_densities') cd from meshes),
+t1 as (select solution_id, layer_no, "role", mesh_no, pw, cd, unnest({_L.format(x='t')}) t, generate_subscripts({_L.format(x='t')}, 1) - 1 triangle_no from t0),
+tri as (select solution_id, layer_no, "role", mesh_no, triangle_no, case json_type(t) when 'OBJECT' then json_extract(t, '$.vertices') else t end v,
+          json_extract(pw, '$[' || triangle_no || ']') p, json_extract(cd, '$[' || triangle_no || ']') c from t1 where json_type(t) <> 'NULL'),
+triangles as (select solution_id, layer_no, "role", mesh_no, triangle_no, (v->>0)::bigint v0, (v->>1)::bigint v1, (v->>2)::bigint v2,
+          (p->>'$')::double power_density, (c->>0)::double jx, (c->>1)::double jy from tri),
+v0 as (select solution_id, layer_no, "role", mesh_no, json_extract(m, '$.potentials') pot, json_extract(m, '$.vertices') v from meshes),
+v1 as (select solution_id, layer_no, "role", mesh_no, pot, unnest({_L.format(x='v')}) v, generate_subscripts({_L.format(x='v')}, 1) - 1 vertex_no from v0),
+vertices as (select solution_id, layer_no, "role", mesh_no, vertex_no, coalesce(v->>'x', v->>0)::double x, coalesce(v->>'y', v->>1)::double y,
+          (json_extract(pot, '$[' || vertex_no || ']')->>'$')::double potential from v1 where json_type(v) <> 'NULL')
+"""
 _P5 = """
 with refs as (
   select 'sources' ref_table, source_id ref_id, board_id, net net_name, recorded_at from sources union
@@ -76,6 +146,14 @@ lost as (
 """
 
 ORACLES = {
+    "p2_found": _P2 + """select solution_id, layer_no, mesh_no, triangle_no, v0, v1, v2 from triangles where "role" = 'meshes'""",
+    "p2_triangles": _P2 + "select * from triangles",
+    "p2_vertices": _P2 + "select * from vertices",
+    "p2_meshes": _P2 + """select solution_id, layer_no, "role", mesh_no, m->>'net' net, (m->>'$.mesh_quality.min_angle')::double mesh_quality_min_angle from meshes""",
+    "p2_layers": _P2 + "select solution_id, layer_no, l->>'layer_name' layer_name from layers",
+    "p2_analyses": _P2 + """select solution_id, case json_type(j) when 'OBJECT' then (j->>'success')::boolean end success, case json_type(j) when 'OBJECT' then j->>'message' end message,
+      case json_type(j) when 'OBJECT' then (j->>'$.solver_info.ground_node_current')::double end solver_info_ground_node_current,
+      case json_type(j) when 'OBJECT' then (j->>'$.solver_info.residual_norm')::double end solver_info_residual_norm from docs where j is not null and json_type(j) <> 'NULL'""",
     "p4_found": """
 with v as (select distinct via_id, board_id, x, y, list_distinct(list_filter(list_transform(layer_names, lambda n: lower(trim(n))), lambda n: n is not null and n <> '')) names
            from vias where x is not null and y is not null and not isnan(x) and not isnan(y)),
