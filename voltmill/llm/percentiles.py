@@ -6,10 +6,10 @@ differs from the exact one by a relative error of at most ``2 ** -bits`` (0.1 %
 and two differences, so every engine gives the same bits.
 
 Counts are the partial result: tables of several partitions or days are combined by ``combine`` and can be kept.
-Percentiles are read off the counts in one range sort: each partition sums its own counts in order, the sums of the
-partitions before it are its offset, and the first value whose cumulative count reaches the rank is the answer. A
-group's counts are bounded by the number of distinct rounded values, and the range sort splits them all the same, so
-no task holds a whole group.
+Percentiles are read off the counts in one range sort: the counts of a group are partitioned into ranges of values with
+fixed borders, each range sums its own counts in order, the sums of the ranges before it are its offset, and the first
+value whose cumulative count reaches the rank is the answer. Fixed borders need no sampling pass, and a range of one
+group is bounded by the rounding, so no task holds a whole group, hot or not.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import staged
-
 BITS = 10
+_NULL = "\0null"
 
 
 def rounded(value: Column, bits: int = BITS) -> Column:
@@ -43,6 +42,13 @@ def combine(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     return every.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
 
 
+def value_range(value: Column) -> Column:
+    """The number of the range that holds ``value``. Ranges are ordered as their values are; each spans a factor of 256,
+    so it holds at most ``8 * 2 ** (bits - 1)`` distinct rounded values."""
+    octave = F.floor(F.log2(F.abs(value)) / 8) + 200  # at least 65
+    return F.when(value == 0, 0).when(value > 0, octave).otherwise(-octave).cast("int")
+
+
 def percentiles(counts: DataFrame, keys: list[str], permille: dict[str, int]) -> DataFrame:
     """``(keys, n, one column per entry of permille)`` from a partial result.
 
@@ -50,25 +56,28 @@ def percentiles(counts: DataFrame, keys: list[str], permille: dict[str, int]) ->
     other. No counts give no rows.
     """
     renamed = [f"_k{i}" for i in range(len(keys))]
-    tidy = counts.select(*[F.col(k).alias(r) for k, r in zip(keys, renamed)], "value", "n")
-    ranged = tidy.repartitionByRange(*renamed, "value").sortWithinPartitions(*renamed, "value")
-    # The borders of the ranges come from a sample, so the numbered partitions are written before they are used twice.
-    ranged = staged(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
+    # Keys as texts that are never null can be joined by plain equality, which keeps the partitioning of the window.
+    ranged = counts.select(*[F.coalesce(F.col(k).cast("string"), F.lit(_NULL)).alias(r) for k, r in zip(keys, renamed)], "value", "n", value_range(F.col("value")).alias("_range"))
+    running = Window.partitionBy(*renamed, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranged = ranged.withColumn("_running", F.sum("n").over(running))
 
-    sums = ranged.groupBy(*renamed, "_part").agg(F.sum("n").alias("_in_part"))
+    sums = ranged.groupBy(*renamed, "_range").agg(F.max("_running").alias("_in_range"))
     group = Window.partitionBy(*renamed)
-    before = F.sum("_in_part").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select(*[F.col(r).alias(f"_o{r}") for r in renamed], F.col("_part").alias("_opart"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_in_part").over(group).alias("_total"))
-
-    same = F.col("_part") == F.col("_opart")
+    before = F.sum("_in_range").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("_in_range").over(group)
+    # Only the ranges in which a rank lies need a look at their rows.
+    ranks = {name: F.greatest(F.lit(1), F.expr(f"(_total * {p} + 999) div 1000")) for name, p in permille.items()}
+    offsets = sums.select(*renamed, "_range", "_in_range", F.coalesce(before, F.lit(0)).alias("_before"), total.alias("_total"))
+    hit = F.lit(False)
+    for rank in ranks.values():
+        hit = hit | ((F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_in_range")))
+    offsets = offsets.filter(hit).select(*[F.col(r).alias(f"_o{r}") for r in renamed], F.col("_range").alias("_orange"), "_before", "_total")
+
+    same = F.col("_range") == F.col("_orange")
     for r in renamed:
-        same = same & F.col(r).eqNullSafe(F.col(f"_o{r}"))
-    running = Window.partitionBy(*renamed, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranged.withColumn("_running", F.sum("n").over(running)).join(offsets, same).withColumn("_running", F.col("_running") + F.col("_before"))
-
-    def first_reaching(p: int) -> Column:
-        rank = F.greatest(F.lit(1), F.expr(f"(_total * {p} + 999) div 1000"))
-        return F.min(F.when(F.col("_running") >= rank, F.col("value")))
-
-    picked = ranked.groupBy(*renamed).agg(F.max("_total").alias("n"), *[first_reaching(p).alias(name) for name, p in permille.items()])
-    return picked.select(*[F.col(r).alias(k) for k, r in zip(keys, renamed)], "n", *permille)
+        same = same & (F.col(r) == F.col(f"_o{r}"))
+    ranked = ranged.join(offsets, same).withColumn("_running", F.col("_running") + F.col("_before"))
+    firsts = [F.min(F.when(F.col("_running") >= rank, F.col("value"))).alias(name) for name, rank in ranks.items()]
+    picked = ranked.groupBy(*renamed).agg(F.max("_total").alias("n"), *firsts)
+    types = dict(counts.dtypes)
+    return picked.select(*[F.nullif(F.col(r), F.lit(_NULL)).cast(types[k]).alias(k) for k, r in zip(keys, renamed)], "n", *permille)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..tables import known, table
 from .components import component_ids, star_edges
+from .encoding import count_tokens, encode_texts
+from .packing import pack
 from .percentiles import BITS, combine, percentiles, value_counts
 
 
@@ -55,7 +57,22 @@ def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles(both, ["period", "net", "day", "measure"], PERMILLE)
 
 
-QUERIES = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_partials": p3_partials}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode_texts(table(spark, folder, "documents").select("doc_id", "text"), "text", "ids").select("doc_id", "ids")
+
+
+#: Tokens a container holds.
+CAPACITY = 2048
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, or of every piece of one that is longer than a container."""
+    sizes = count_tokens(table(spark, folder, "documents").select("doc_id", "text"), "text", "n_tokens")
+    return pack(sizes, "n_tokens", CAPACITY).select("container_id", "doc_id", "piece_no", "piece_start", "piece_size")
+
+
+QUERIES = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_partials": p3_partials, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 _ROUND = f"case when abs({{v}}) < 2.0::double ** 960 then {{v}} * {2 ** (53 - BITS) + 1}::double - ({{v}} * {2 ** (53 - BITS) + 1}::double - {{v}}) else {{v}} end"
 _MESHES = """
