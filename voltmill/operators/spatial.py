@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -279,14 +280,12 @@ def _usable(*names: str):  # noqa: ANN202
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Values and row offsets of a list column; null lists are empty."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    size = np.nan_to_num(pa.compute.list_value_length(arr).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    size = np.nan_to_num(pc.list_value_length(arr).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
     return arr.flatten(), np.r_[0, np.cumsum(size)]
 
 
 def match_bundle(batch: pa.Table, distance: float) -> pa.Table:
     """All matches within one bundle of tiles."""
-    import pyarrow.compute as pc
-
     def column(name: str) -> np.ndarray:
         return batch.column(name).to_numpy()
 
