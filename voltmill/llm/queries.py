@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..tables import known, table
 from .components import component_ids, star_edges
 from .encoding import count_tokens, encode_texts
+from .mojibake import find_garbled
 from .packing import pack
 from .percentiles import BITS, combine, percentiles, value_counts
 
@@ -72,7 +73,17 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(sizes, "n_tokens", CAPACITY).select("container_id", "doc_id", "piece_no", "piece_start", "piece_size")
 
 
-QUERIES = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_partials": p3_partials, "p6_ids": p6_ids, "p7_containers": p7_containers}
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with wrongly decoded text, how it came about, and the original text where it can be had back."""
+    return find_garbled(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "mappings", "restored")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with wrongly decoded text."""
+    return p8_restored(spark, folder).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_partials": p3_partials, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _ROUND = f"case when abs({{v}}) < 2.0::double ** 960 then {{v}} * {2 ** (53 - BITS) + 1}::double - ({{v}} * {2 ** (53 - BITS) + 1}::double - {{v}}) else {{v}} end"
 _MESHES = """
