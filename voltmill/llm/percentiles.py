@@ -16,37 +16,82 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 10
-_NULL = "\0null"
+#: List entries a row of a batch may have.
+CHUNK = 1024
 
 
-def rounded(value: Column, bits: int = BITS) -> Column:
-    """``value`` to ``bits`` significant binary digits; infinities stay, as do values beyond 2**960."""
-    spread = value * F.lit(float(2 ** (53 - bits) + 1))
-    near = spread - (spread - value)
-    return F.when(F.abs(value) < F.lit(2.0**960), near).otherwise(value)
+def _rounded_array(values: np.ndarray, bits: int) -> np.ndarray:
+    """To ``bits`` significant binary digits; infinities stay, as do values beyond 2**960."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        spread = values * float(2 ** (53 - bits) + 1)
+        return np.where(np.abs(values) < 2.0**960, spread - (spread - values), values) + 0.0
 
 
-def value_counts(values: DataFrame, keys: list[str], value: str, bits: int = BITS) -> DataFrame:
-    """The partial result ``(keys, value, n)``; null and NaN are left out, infinities count as the outermost values."""
-    real = values.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    return real.groupBy(*keys, rounded(F.col(value), bits).alias("value")).agg(F.count("*").alias("n"))
+def _keyed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds what partitions and orders counts: 96 bits of hash that tell groups apart, and the range of the value."""
+    return rows.select(F.xxhash64(*keys).alias("_h"), F.hash(*keys).alias("_i"), *keys, value_range(F.col("value")).alias("_range"), "value", "n")
+
+
+def value_counts(rows: DataFrame, keys: list[str], lists: dict[str, str], measure: str = "measure", bits: int = BITS) -> DataFrame:
+    """The partial result ``(keys, measure, value, n)`` of list columns; ``lists``: measure -> column.
+
+    Null and NaN are left out, infinities count as the outermost values, null and empty lists count nothing. Each
+    batch of rows is reduced to counts before it is shuffled, so a value or group that a third of all rows have arrives
+    as one row per batch. Lists longer than ``CHUNK`` are cut, so a batch is bounded whatever the lengths are.
+    """
+    chunks = F.greatest(F.lit(0), *[F.expr(f"(coalesce(size(`{c}`), 0) - 1) div {CHUNK}") for c in lists.values()])
+    cut = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long"))))
+    cut = cut.select(*keys, *[F.slice(F.col(c), F.expr(f"cast(_chunk * {CHUNK} + 1 as int)"), CHUNK).alias(f"_l{i}") for i, c in enumerate(lists.values())])
+    schema = T.StructType([*cut.select(*keys).schema.fields, T.StructField(measure, T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("n", T.LongType())])
+    names = list(lists)
+
+    def reduce_batches(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            codes = np.zeros(batch.num_rows, np.int64)
+            for k in keys:
+                part = pc.dictionary_encode(batch.column(k), null_encoding="encode")
+                codes = codes * (len(part.dictionary) + 1) + part.indices.to_numpy(zero_copy_only=False)
+            _, first, group = np.unique(codes, return_index=True, return_inverse=True)
+            for i, name in enumerate(names):
+                column = batch.column(f"_l{i}")
+                size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                values = column.flatten().to_numpy(zero_copy_only=False)
+                owner = np.repeat(group, size)
+                real = ~np.isnan(values)
+                values, owner = _rounded_array(values[real], bits), owner[real]
+                order = np.lexsort((values, owner))
+                values, owner = values[order], owner[order]
+                new = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])][: len(values)])
+                taken = pa.array(first[owner[new]])
+                columns = [batch.column(k).take(taken) for k in keys]
+                n = np.diff(np.r_[new, len(values)])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([name] * len(new), pa.string()), pa.array(values[new], pa.float64()), pa.array(n, pa.int64())], [*keys, measure, "value", "n"])
+
+    return combine([cut.mapInArrow(reduce_batches, schema)], [*keys, measure])
 
 
 def combine(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """One partial result from several; ``keys`` may be fewer than the parts have."""
     every = reduce(lambda a, b: a.unionByName(b), [p.select(*keys, "value", "n") for p in parts])
-    return every.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    # Partitioned as percentiles need it, which then sort and join without another shuffle.
+    placed = _keyed(every, keys).repartition("_h", "_i", "_range")
+    return placed.groupBy("_h", "_i", *keys, "_range", "value").agg(F.sum("n").alias("n")).select(*keys, "value", "n", "_h", "_i", "_range")
 
 
 def value_range(value: Column) -> Column:
     """The number of the range that holds ``value``. Ranges are ordered as their values are; each spans a factor of 256,
     so it holds at most ``8 * 2 ** (bits - 1)`` distinct rounded values."""
     octave = F.floor(F.log2(F.abs(value)) / 8) + 200  # at least 65
-    return F.when(value == 0, 0).when(value > 0, octave).otherwise(-octave).cast("int")
+    number = F.when(value == 0, 0).when(value > 0, octave).otherwise(-octave).cast("int")
+    return F.coalesce(number, F.lit(0))  # never null, for the sake of the planner
 
 
 def percentiles(counts: DataFrame, keys: list[str], permille: dict[str, int]) -> DataFrame:
@@ -55,29 +100,22 @@ def percentiles(counts: DataFrame, keys: list[str], permille: dict[str, int]) ->
     The p-th percentile of n values is the value of rank ``ceil(p * n)``, at least 1. A null key is a group like any
     other. No counts give no rows.
     """
-    renamed = [f"_k{i}" for i in range(len(keys))]
-    # Keys as texts that are never null can be joined by plain equality, which keeps the partitioning of the window.
-    ranged = counts.select(*[F.coalesce(F.col(k).cast("string"), F.lit(_NULL)).alias(r) for k, r in zip(keys, renamed)], "value", "n", value_range(F.col("value")).alias("_range"))
-    running = Window.partitionBy(*renamed, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranged = ranged.withColumn("_running", F.sum("n").over(running))
-
-    sums = ranged.groupBy(*renamed, "_range").agg(F.max("_running").alias("_in_range"))
-    group = Window.partitionBy(*renamed)
+    if "_range" not in counts.columns:
+        counts = combine([counts], keys)
+    place = ["_h", "_i", "_range"]
+    sums = counts.groupBy(*place, *keys).agg(F.sum("n").alias("_in_range"))
+    group = Window.partitionBy("_h", "_i")
     before = F.sum("_in_range").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("_in_range").over(group)
-    # Only the ranges in which a rank lies need a look at their rows.
     ranks = {name: F.greatest(F.lit(1), F.expr(f"(_total * {p} + 999) div 1000")) for name, p in permille.items()}
-    offsets = sums.select(*renamed, "_range", "_in_range", F.coalesce(before, F.lit(0)).alias("_before"), total.alias("_total"))
+    offsets = sums.select(*place, "_in_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_in_range").over(group).alias("_total"))
+    # Only the ranges in which a rank lies need a look at their rows.
     hit = F.lit(False)
     for rank in ranks.values():
         hit = hit | ((F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_in_range")))
-    offsets = offsets.filter(hit).select(*[F.col(r).alias(f"_o{r}") for r in renamed], F.col("_range").alias("_orange"), "_before", "_total")
-
-    same = F.col("_range") == F.col("_orange")
-    for r in renamed:
-        same = same & (F.col(r) == F.col(f"_o{r}"))
-    ranked = ranged.join(offsets, same).withColumn("_running", F.col("_running") + F.col("_before"))
-    firsts = [F.min(F.when(F.col("_running") >= rank, F.col("value"))).alias(name) for name, rank in ranks.items()]
-    picked = ranked.groupBy(*renamed).agg(F.max("_total").alias("n"), *firsts)
-    types = dict(counts.dtypes)
-    return picked.select(*[F.nullif(F.col(r), F.lit(_NULL)).cast(types[k]).alias(k) for k, r in zip(keys, renamed)], "n", *permille)
+    offsets = offsets.filter(hit).drop("_in_range")
+
+    running = Window.partitionBy(*place).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_running", F.sum("n").over(running)).join(offsets, place)
+    reached = F.col("_running") + F.col("_before")
+    firsts = [F.min(F.when(reached >= rank, F.col("value"))).alias(name) for name, rank in ranks.items()]
+    return ranked.groupBy("_h", "_i", *keys).agg(F.max("_total").alias("n"), *firsts).select(*keys, "n", *permille)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import known, table
+from ..tables import known, once_per_key, table
 from .components import component_ids, star_edges
 from .encoding import count_tokens, encode_texts
 from .mojibake import find_garbled
@@ -35,27 +35,22 @@ PERMILLE = {"p01": 10, "p05": 50, "p50": 500, "p95": 950, "p99": 990}
 
 def mesh_value_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The partial result of problem 3: counts of rounded values per net, day and measure. Unknown nets are no net."""
-    meshes = table(spark, folder, "mesh_outputs").select("mesh_id", known("net").alias("net"), F.date_format("solved_at", "yyyy-MM-dd").alias("day"), "potentials", "power_densities").filter("net is not null")
-    once = meshes.filter("mesh_id is not null").dropDuplicates(["mesh_id"]).unionByName(meshes.filter("mesh_id is null"))
-    lists = F.array(F.struct(F.lit("potential").alias("measure"), F.col("potentials").alias("values")), F.struct(F.lit("power_density").alias("measure"), F.col("power_densities").alias("values")))
-    listed = once.select("net", "day", F.explode(lists).alias("list"))
-    values = listed.select("net", "day", "list.measure", F.explode("list.values").alias("value"))
-    return value_counts(values, ["net", "day", "measure"], "value")
+    meshes = once_per_key(table(spark, folder, "mesh_outputs"), "mesh_id", "net", "solved_at", "potentials", "power_densities")
+    meshes = meshes.select(known("net").alias("net"), F.date_format("solved_at", "yyyy-MM-dd").alias("day"), "potentials", "power_densities").filter("net is not null")
+    return value_counts(meshes, ["net", "day"], {"potential": "potentials", "power_density": "power_densities"})
 
 
 def p3_partials(spark: SparkSession, folder: str) -> DataFrame:
     """The counts that can be kept and combined, one row per net, day, measure and rounded value."""
-    return mesh_value_counts(spark, folder)
+    return mesh_value_counts(spark, folder).select("net", "day", "measure", "value", "n")
 
 
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of potentials and power densities per net (period ``all``) and per net and day (period ``day``)."""
-    from ..staging import staged
-
-    daily = staged(mesh_value_counts(spark, folder), "counts")
-    whole = combine([daily], ["net", "measure"]).withColumn("day", F.lit(None).cast("string")).withColumn("period", F.lit("all"))
-    both = daily.withColumn("period", F.lit("day")).unionByName(whole)
-    return percentiles(both, ["period", "net", "day", "measure"], PERMILLE)
+    daily = mesh_value_counts(spark, folder)
+    by_day = percentiles(daily, ["net", "day", "measure"], PERMILLE).withColumn("period", F.lit("day"))
+    by_net = percentiles(combine([daily], ["net", "measure"]), ["net", "measure"], PERMILLE).withColumn("period", F.lit("all"))
+    return by_day.unionByName(by_net.withColumn("day", F.lit(None).cast("string"))).select("period", "net", "day", "measure", "n", *PERMILLE)
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
