@@ -71,6 +71,17 @@ def _lenient(name: str):  # noqa: ANN202
 _CHARMAPS = {name: _lenient(name) for name in SINGLE}
 
 
+def _pattern(wrong: str, wide: bool) -> re.Pattern:
+    """Runs of characters beyond ASCII that an encoding has; ``wide`` allows for ASCII second bytes."""
+    if wrong in SINGLE:
+        own = "".join(re.escape(bytes([b]).decode(wrong, "ignore") or chr(b)) for b in range(128, 256))
+        return re.compile(f"(?:[{own}]+[@-~]?)+" if wide else f"[{own}]+")
+    return WIDE if wide else NARROW
+
+
+_PATTERNS = {m: _pattern(m[0], m in TO_DOUBLE) for m in TO_UTF8 + TO_SINGLE + TO_DOUBLE}
+
+
 def to_bytes(text: str, name: str) -> bytes | None:
     """``text`` in an encoding, or null if it has other characters."""
     try:
@@ -196,11 +207,14 @@ class PairStatistics:
         apart = np.maximum(self.first[codes[:-1]], 0.5) / self.total * np.maximum(self.second[codes[1:]], 0.5) / self.total
         return 3 * np.log(n) - np.log(apart)
 
-    def log_probability(self, text: str) -> float:
-        """Sum of the log probabilities of each character after the one before it."""
-        codes = _codes(text)
+    def log_probabilities(self, texts: list[str]) -> np.ndarray:
+        """For each text the sum of the log probabilities of each character after the one before it."""
+        codes = _codes("".join(texts))
+        ends = np.cumsum([len(t) for t in texts])
         after = (self.second[codes[1:]] + 0.01) / self.total
-        return float(np.log((self.pairs(codes) + 2 * after) / (self.first[codes[:-1]] + 2)).sum())
+        each = np.log((self.pairs(codes) + 2 * after) / (self.first[codes[:-1]] + 2))
+        each[ends[:-1] - 1] = 0.0  # from one text to the next
+        return np.add.reduceat(each, np.r_[0, ends[:-1]])
 
 
 # --- decisions ----------------------------------------------------------------------------------------------------
@@ -231,21 +245,17 @@ class Repairer:
         key = (kind, before, run, after)
         known = self._memo.get(key)
         if known is None:
-            known, own = [], None
-            for mapping in mappings:
-                back = inverse(run, *mapping)
-                if back is not None:
-                    if own is None:
-                        own = self.statistics.log_probability(before + run + after)
-                    gain = self.statistics.log_probability(before + back + after) - own
-                    if gain > 0:
-                        known.append((gain, mapping, back))
+            backs = [(m, back) for m in mappings if (back := inverse(run, *m)) is not None]
+            known = []
+            if backs:
+                sums = self.statistics.log_probabilities([before + run + after, *(before + back + after for _, back in backs)])
+                known = [(float(x - sums[0]), m, back) for x, (m, back) in zip(sums[1:], backs) if x > sums[0]]
             if len(self._memo) >= MEMO_ENTRIES:
                 self._memo.clear()
             self._memo[key] = known
         return known
 
-    def _weigh(self, text: str, runs: list[tuple[int, int]], mappings: list, kind: str) -> tuple[Counter, Counter]:
+    def _weigh(self, text: str, runs: list[list[int]], mappings: list, kind: str) -> tuple[Counter, Counter]:
         """Best gain and sum of gains beyond the toll, by mapping."""
         best, total = Counter(), Counter()
         for a, b in runs:
@@ -254,7 +264,7 @@ class Repairer:
                 total[mapping] += gain if mapping[1] == "utf-8" else max(0.0, gain - OTHER_TOLL)
         return best, total
 
-    def mapping(self, text: str, runs: list[tuple[int, int]]) -> tuple[tuple[str, str], float] | None:
+    def mapping(self, text: str, runs: list[list[int]]) -> tuple[tuple[str, str], float] | None:
         """The mapping that explains the improbable runs of a text, and its gain; null if there is none."""
         best, total = self._weigh(text, runs, TO_UTF8, "u")
         sure = [(total[m], m) for m in total if best[m] > UTF8_GAIN]
@@ -272,8 +282,7 @@ class Repairer:
 
     def undo(self, text: str, mapping: tuple[str, str]) -> str:
         """``text`` with the segments restored that gain by ``mapping`` as a whole."""
-        pattern = WIDE if mapping in TO_DOUBLE else NARROW
-        spans = [m.span() for m in pattern.finditer(text)]
+        spans = [m.span() for m in _PATTERNS[mapping].finditer(text)]
         backs, scores = [], []
         for a, b in spans:
             back = inverse(text[a:b], *mapping)
@@ -284,7 +293,8 @@ class Repairer:
             elif mapping[1] == "utf-8":
                 scores.append(1.0)  # what decodes as UTF-8 in a text that was read wrongly was read wrongly, too
             else:
-                scores.append(self.statistics.log_probability(context[0] + back + context[1]) - self.statistics.log_probability(context[0] + text[a:b] + context[1]))
+                before, after = self.statistics.log_probabilities([text[a:b].join(context), back.join(context)])
+                scores.append(float(after - before))
         out, at = [], 0
         for first, last in maximal_segments(scores):
             for i in range(first, last):
@@ -294,7 +304,7 @@ class Repairer:
                     at = b
         return "".join([*out, text[at:]])
 
-    def repair(self, text: str, runs: list[tuple[int, int]]) -> tuple[str | None, str | None, float]:
+    def repair(self, text: str, runs: list[list[int]]) -> tuple[str | None, str | None, float]:
         """``(mappings undone, restored text, gain)``; no mappings and no text if the text is in order, and no text if
         characters are lost for good."""
         undone, gain, now = [], 0.0, text
@@ -308,7 +318,7 @@ class Repairer:
             if after == now:
                 break
             now = after
-            runs = [tuple(r) for r in self.improbable(_codes(now))]
+            runs = self.improbable(_codes(now)).tolist()
         if not undone:
             return (("lost", None, 0.0) if LOST in text else (None, None, 0.0))
         return " ".join(undone), (None if LOST in now else now), gain
@@ -336,11 +346,11 @@ def find_garbled(documents: DataFrame, text: str, prefix: str = "") -> DataFrame
                 codes = _codes("\n" + "\n".join(texts) + "\n")
                 starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
                 spans = repairer.improbable(codes)
-                owner = np.searchsorted(starts, spans[:, 0], side="right") - 1
-                marked = set(owner.tolist())
-                for i in sorted(marked | {i for i, t in enumerate(texts) if LOST in t}):
-                    own = spans[owner == i] - starts[i] if i in marked else ()
-                    found = repairer.repair(texts[i], [(int(a), int(b)) for a, b in own])
+                borders = np.searchsorted(spans[:, 0], starts)
+                for i, (t, lo, hi) in enumerate(zip(texts, borders[:-1].tolist(), borders[1:].tolist())):
+                    if lo == hi and LOST not in t:
+                        continue
+                    found = repairer.repair(t, (spans[lo:hi] - starts[i]).tolist())
                     if found[0] is not None:
                         rows.append(base + i)
                         results.append(found)
