@@ -38,3 +38,25 @@ def micros(ts: Column | str) -> Column:
     """A timestamp as microseconds, for timestamps with and without zone (session zone UTC)."""
     column = F.col(ts) if isinstance(ts, str) else ts
     return F.unix_micros(column.cast("timestamp"))
+
+
+#: Repeated keys that may be broadcast; beyond, rows are shuffled by key.
+MOST_REPEATED = 500_000
+
+
+def once_per_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row per ``key`` of a table read from files, with ``columns``; rows of a null key all stay.
+
+    Only the keys are shuffled. The keys that occur repeatedly, with the place of their first row in the files, are
+    broadcast if they are few, so wide rows stay where they are; if they are many, rows are shuffled by key.
+    """
+    from .staging import Stage
+
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    named = rows.select(key, *[c for c in columns if c != key], place.alias("__place"))
+    repeated = Stage(named.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"), F.min("__place").alias("__first")).filter("__n > 1").select(F.col(key).alias("__key"), "__first"), "repeated").df
+    if repeated.count() > MOST_REPEATED:
+        plain = named.drop("__place")
+        return plain.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(plain.filter(F.col(key).isNull()))
+    met = named.join(F.broadcast(repeated), F.col(key) == F.col("__key"), "left")
+    return met.filter("__first is null or __first = __place").drop("__place", "__key", "__first")
