@@ -258,23 +258,22 @@ class Repairer:
     def _weigh(self, text: str, runs: list[list[int]], mappings: list, kind: str) -> tuple[Counter, Counter]:
         """Best gain and sum of gains beyond the toll, by mapping."""
         best, total = Counter(), Counter()
-        for a, b in runs:
-            for gain, mapping, _ in self.gains(text[a - 1 : a] or "\n", text[a:b], text[b : b + 1] or "\n", mappings, kind):
+        for (before, run, after), times in Counter((text[a - 1 : a] or "\n", text[a:b], text[b : b + 1] or "\n") for a, b in runs).items():
+            for gain, mapping, _ in self.gains(before, run, after, mappings, kind):
                 best[mapping] = max(best[mapping], gain)
-                total[mapping] += gain if mapping[1] == "utf-8" else max(0.0, gain - OTHER_TOLL)
+                total[mapping] += times * (gain if mapping[1] == "utf-8" else max(0.0, gain - OTHER_TOLL))
         return best, total
 
     def mapping(self, text: str, runs: list[list[int]]) -> tuple[tuple[str, str], float] | None:
         """The mapping that explains the improbable runs of a text, and its gain; null if there is none."""
-        best, total = self._weigh(text, runs, TO_UTF8, "u")
-        sure = [(total[m], m) for m in total if best[m] > UTF8_GAIN]
+        best, total = self._weigh(text, runs, TO_UTF8 + TO_SINGLE, "n")
+        sure = [(total[m], m) for m in total if m[1] == "utf-8" and best[m] > UTF8_GAIN]
         if not sure:
-            _, total = self._weigh(text, runs, TO_SINGLE, "s")
             wide = [m.span() for m in WIDE.finditer(text)]
             starts = np.array([a for a, _ in wide], np.int64)
             held = sorted({int(np.searchsorted(starts, a, side="right")) - 1 for a, _ in runs})
             _, more = self._weigh(text, [wide[i] for i in held if i >= 0], TO_DOUBLE, "d")
-            sure = [(g, m) for m, g in (total + more).items() if g > OTHER_GAIN]
+            sure = [(g, m) for m, g in (total + more).items() if m[1] != "utf-8" and g > OTHER_GAIN]
         if not sure:
             return None
         gain, mapping = max(sure)

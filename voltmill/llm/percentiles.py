@@ -89,7 +89,7 @@ def combine(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 def value_range(value: Column) -> Column:
     """The number of the range that holds ``value``. Ranges are ordered as their values are; each spans a factor of 256,
     so it holds at most ``8 * 2 ** (bits - 1)`` distinct rounded values."""
-    octave = F.floor(F.log2(F.abs(value)) / 8) + 200  # at least 65
+    octave = F.floor(F.least(F.log2(F.abs(value)) / 8, F.lit(200.0))) + 200  # at least 65
     number = F.when(value == 0, 0).when(value > 0, octave).otherwise(-octave).cast("int")
     return F.coalesce(number, F.lit(0))  # never null, for the sake of the planner
 
