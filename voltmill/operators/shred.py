@@ -178,7 +178,7 @@ def shred(documents: DataFrame, key: str, document: str, graph: dict[str, Elemen
     relations = inline(graph, root)
     frames: dict[str, DataFrame] = {}
     keys: dict[str, list[str]] = {root: [key]}
-    top = documents.filter(F.col(document).isNotNull())
+    top = documents.filter(F.col(document).isNotNull() & ~F.is_variant_null(document))
     frames[root] = top.select(key, F.col(document).alias("_v"))
     for name, relation in relations.items():
         if name == root:

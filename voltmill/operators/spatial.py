@@ -302,7 +302,8 @@ def match_bundle(batch: pa.Table, distance: float) -> pa.Table:
     code = pc.fill_null(codes.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
     tags = max(1, len(codes.dictionary))
     owner = np.repeat(np.arange(len(kind)), np.diff(tag_start))
-    of_point = np.unique(owner[kind[owner] == 0] * tags + code[kind[owner] == 0])
+    named = (kind[owner] == 0) & (code >= 0)
+    of_point = np.unique(owner[named] * tags + code[named])
     own_tag = np.full(len(kind), -1)
     own_tag[other] = code[tag_start[other]]
     vx, vstart = _lists(batch.column("vx"))
