@@ -94,14 +94,33 @@ def to_bytes(text: str, name: str) -> bytes | None:
 
 def inverse(text: str, wrong: str, true: str) -> str | None:
     """What ``text`` was before bytes of the encoding ``true`` were read as ``wrong``; null if that cannot be."""
-    raw = to_bytes(text, wrong)
-    if raw is None:
-        return None
-    try:
-        back = raw.decode(true)
-    except UnicodeError:
-        return None
-    return back if back != text else None
+    return inverses(text, {wrong: [true]}).get((wrong, true))
+
+
+def inverses(text: str, mappings: dict[str, list[str]]) -> dict[tuple[str, str], str]:
+    """All that ``text`` may have been, by mapping; ``mappings`` has the true encodings of each wrong one."""
+    out = {}
+    for wrong, trues in mappings.items():
+        raw = to_bytes(text, wrong)
+        if raw is not None:
+            for true in trues:
+                try:
+                    back = raw.decode(true)
+                except UnicodeError:
+                    continue
+                if back != text:
+                    out[wrong, true] = back
+    return out
+
+
+def _by_wrong(mappings: list[tuple[str, str]]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for wrong, true in mappings:
+        out.setdefault(wrong, []).append(true)
+    return out
+
+
+NARROW_TRIES, WIDE_TRIES = _by_wrong(TO_UTF8 + TO_SINGLE), _by_wrong(TO_DOUBLE)
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
@@ -240,39 +259,41 @@ class Repairer:
         worst = np.minimum.reduceat(low, np.minimum(cuts, len(low) - 1))[::2]
         return np.column_stack([begin, end])[worst < THRESHOLD]
 
-    def gains(self, before: str, run: str, after: str, mappings: list, kind: str) -> list[tuple[float, tuple[str, str], str]]:
-        """``(gain, mapping, text)`` of the mappings that make a run more probable."""
+    def gains(self, before: str, run: str, after: str, mappings: dict[str, list[str]], kind: str) -> list[tuple[float, tuple[str, str]]]:
+        """``(gain, mapping)`` of the mappings that make a run more probable."""
         key = (kind, before, run, after)
         known = self._memo.get(key)
         if known is None:
-            backs = [(m, back) for m in mappings if (back := inverse(run, *m)) is not None]
+            backs = inverses(run, mappings)
             known = []
             if backs:
-                sums = self.statistics.log_probabilities([before + run + after, *(before + back + after for _, back in backs)])
-                known = [(float(x - sums[0]), m, back) for x, (m, back) in zip(sums[1:], backs) if x > sums[0]]
+                texts = list(dict.fromkeys(backs.values()))
+                sums = self.statistics.log_probabilities([before + run + after, *(before + back + after for back in texts)])
+                gain = {back: float(x - sums[0]) for back, x in zip(texts, sums[1:]) if x > sums[0]}
+                known = [(gain[back], m) for m, back in backs.items() if back in gain]
             if len(self._memo) >= MEMO_ENTRIES:
                 self._memo.clear()
             self._memo[key] = known
         return known
 
-    def _weigh(self, text: str, runs: list[list[int]], mappings: list, kind: str) -> tuple[Counter, Counter]:
+    def _weigh(self, text: str, runs: list[list[int]], mappings: dict[str, list[str]], kind: str) -> tuple[Counter, Counter]:
         """Best gain and sum of gains beyond the toll, by mapping."""
         best, total = Counter(), Counter()
         for (before, run, after), times in Counter((text[a - 1 : a] or "\n", text[a:b], text[b : b + 1] or "\n") for a, b in runs).items():
-            for gain, mapping, _ in self.gains(before, run, after, mappings, kind):
+            for gain, mapping in self.gains(before, run, after, mappings, kind):
                 best[mapping] = max(best[mapping], gain)
                 total[mapping] += times * (gain if mapping[1] == "utf-8" else max(0.0, gain - OTHER_TOLL))
         return best, total
 
     def mapping(self, text: str, runs: list[list[int]]) -> tuple[tuple[str, str], float] | None:
         """The mapping that explains the improbable runs of a text, and its gain; null if there is none."""
-        best, total = self._weigh(text, runs, TO_UTF8 + TO_SINGLE, "n")
+        best, total = self._weigh(text, runs, NARROW_TRIES, "n")
         sure = [(total[m], m) for m in total if m[1] == "utf-8" and best[m] > UTF8_GAIN]
         if not sure:
             wide = [m.span() for m in WIDE.finditer(text)]
             starts = np.array([a for a, _ in wide], np.int64)
-            held = sorted({int(np.searchsorted(starts, a, side="right")) - 1 for a, _ in runs})
-            _, more = self._weigh(text, [wide[i] for i in held if i >= 0], TO_DOUBLE, "d")
+            held = np.unique(np.searchsorted(starts, [a for a, _ in runs], side="right") - 1).tolist()
+            _, more = self._weigh(text, [wide[i] for i in held if i >= 0], WIDE_TRIES, "d")
             sure = [(g, m) for m, g in (total + more).items() if m[1] != "utf-8" and g > OTHER_GAIN]
         if not sure:
             return None
