@@ -13,7 +13,7 @@ COPPER = 0.035
 PLATING = 0.025
 MIL = 0.0254
 # Ground names, and the constants of the trace capacity rule for outer and inner layers.
-GROUND_NAMES = ("gnd", "agnd", "dgnd", "pgnd", "vss", "ground", "0v")
+GROUND_NAMES = ("gnd", "ground", "0", "earth", "vss", "vee", "agnd", "dgnd", "sgnd", "pgnd")
 CAPACITY_OUTER, CAPACITY_INNER = 0.048, 0.024
 
 
