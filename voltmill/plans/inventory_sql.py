@@ -89,7 +89,7 @@ ORACLES = {
       select pour_id, round(abs(a), 4) area, a > 0 counter_clockwise, round(len, 4) perimeter, round(x0, 4) x0, round(y1, 4) y1, round(mx, 4) mean_x, round(abs(a) - coalesce(holes, 0), 3) net_area
       from ga left join hz using (pour_id) where n >= 3""",
     "board_bounds": _CTE + f"""select board_id, round(min(x), 4) min_x, round(-min(-x), 4) max_x, round(min(y), 4) min_y, round(-min(-y), 4) max_y
-      from (select board_id, x, y from v where {_FINITE} union all select board_id, px, py from p where {_FAR.format('px')} and {_FAR.format('py')} union all select board_id, ax, ay from vx where {_FAR.format('ax')} and {_FAR.format('ay')}) group by 1""",
+      from (select board_id, x, y from v where {_FINITE} union all select board_id, px, py from (select distinct board_id, x, y, px, py from p where {_FINITE}) union all select board_id, ax, ay from vx where {_FAR.format('ax')} and {_FAR.format('ay')}) group by 1""",
     "pour_coverage": _CTE + "select nullif(c.net, '') net, c.layer, count(*) pours, round(sum(case when len(vertices) >= 3 then abs(a) when vertices is not null then 0 end), 2) area from c left join ga using (pour_id) group by 1, 2",
     "pads_by_net": _CTE + "select board_id, nullif(net, '') net, count(*) pads, count(*) filter (where is_tht) tht from p group by 1, 2",
     "rail_currents": _CTE + f"select board_id, net, round(sum(case when load_current > 0 then load_current else 0 end), 4) as \"current\", round(sum(abs(load_current)), 4) total from lo where net <> '' and {_FAR.format('load_current')} group by 1, 2",
