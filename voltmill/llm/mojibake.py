@@ -35,6 +35,8 @@ SKETCH_BITS = 21
 UNICODE = 0x110000
 #: Pairs with a score below this are improbable (nats).
 THRESHOLD = -16.0
+#: Share of a character's successors that is left to any character by its own frequency.
+UNSEEN = 0.1
 #: Gain in nats that one run needs with UTF-8 as the true encoding.
 UTF8_GAIN = 1.0
 #: Gain in nats that all runs need together with another one, after what each must gain first.
@@ -59,6 +61,9 @@ TO_DOUBLE = [(w, t) for t, ws in DOUBLE_READ_AS.items() for w in ws]
 NARROW = re.compile(r"[^\x00-\x7f]+")
 #: The second byte of a double-byte character may be an ASCII one.
 WIDE = re.compile(r"(?:[^\x00-\x7f]+[@-~]?)+")
+#: East Asian characters, which a run of other garbled ones may adjoin, and the rest.
+SPLIT = re.compile(r"[\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+|[^\x00-\x7f\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+")
+SPLIT_WIDE = re.compile(r"(?:[\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+[@-~]?)+|(?:[^\x00-\x7f\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+[@-~]?)+")
 LOST = "�"
 
 
@@ -227,13 +232,16 @@ class PairStatistics:
         return 3 * np.log(n) - np.log(apart)
 
     def log_probabilities(self, texts: list[str]) -> np.ndarray:
-        """For each text the sum of the log probabilities of each character after the one before it."""
+        """For each text the sum of the log probabilities of each character after the one before it, and last, for the
+        first text, what it owes to pairs within it: how far they are more frequent than their characters alone."""
         codes = _codes("".join(texts))
         ends = np.cumsum([len(t) for t in texts])
-        after = (self.second[codes[1:]] + 0.01) / self.total
-        each = np.log((self.pairs(codes) + 2 * after) / (self.first[codes[:-1]] + 2))
+        alone = (self.second[codes[1:]] + 0.01) / self.total
+        each = np.log((1 - UNSEEN) * self.pairs(codes) / np.maximum(self.first[codes[:-1]], 1.0) + UNSEEN * alone)
+        inner = slice(1, ends[0] - 2)
+        bonus = np.maximum(each[inner] - np.log(alone[inner]), 0.0).sum()
         each[ends[:-1] - 1] = 0.0  # from one text to the next
-        return np.add.reduceat(each, np.r_[0, ends[:-1]])
+        return np.r_[np.add.reduceat(each, np.r_[0, ends[:-1]]), bonus]
 
 
 # --- decisions ----------------------------------------------------------------------------------------------------
@@ -269,8 +277,10 @@ class Repairer:
             if backs:
                 texts = list(dict.fromkeys(backs.values()))
                 sums = self.statistics.log_probabilities([before + run + after, *(before + back + after for back in texts)])
-                gain = {back: float(x - sums[0]) for back, x in zip(texts, sums[1:]) if x > sums[0]}
-                known = [(gain[back], m) for m, back in backs.items() if back in gain]
+                gain = {back: float(x - sums[0]) for back, x in zip(texts, sums[1:-1])}
+                # Pairs of characters that UTF-8 makes of one are frequent only because texts were garbled.
+                weighed = [(gain[back] + (sums[-1] if m[1] == "utf-8" else 0.0), m) for m, back in backs.items()]
+                known = [(g, m) for g, m in weighed if g > 0]
             if len(self._memo) >= MEMO_ENTRIES:
                 self._memo.clear()
             self._memo[key] = known
@@ -280,7 +290,11 @@ class Repairer:
         """Best gain and sum of gains beyond the toll, by mapping."""
         best, total = Counter(), Counter()
         for (before, run, after), times in Counter((text[a - 1 : a] or "\n", text[a:b], text[b : b + 1] or "\n") for a, b in runs).items():
-            for gain, mapping in self.gains(before, run, after, mappings, kind):
+            found = self.gains(before, run, after, mappings, kind)
+            if not found and len(parts := (SPLIT if kind == "n" else SPLIT_WIDE).findall(run)) > 1:
+                around = [before, *parts, after]
+                found = [g for k, part in enumerate(parts) for g in self.gains(around[k][-1], part, around[k + 2][0], mappings, kind)]
+            for gain, mapping in found:
                 best[mapping] = max(best[mapping], gain)
                 total[mapping] += times * (gain if mapping[1] == "utf-8" else max(0.0, gain - OTHER_TOLL))
         return best, total
@@ -313,7 +327,7 @@ class Repairer:
             elif mapping[1] == "utf-8":
                 scores.append(1.0)  # what decodes as UTF-8 in a text that was read wrongly was read wrongly, too
             else:
-                before, after = self.statistics.log_probabilities([text[a:b].join(context), back.join(context)])
+                before, after, _ = self.statistics.log_probabilities([text[a:b].join(context), back.join(context)])
                 scores.append(float(after - before))
         out, at = [], 0
         for first, last in maximal_segments(scores):
