@@ -231,17 +231,18 @@ class PairStatistics:
         apart = np.maximum(self.first[codes[:-1]], 0.5) / self.total * np.maximum(self.second[codes[1:]], 0.5) / self.total
         return 3 * np.log(n) - np.log(apart)
 
-    def log_probabilities(self, texts: list[str]) -> np.ndarray:
-        """For each text the sum of the log probabilities of each character after the one before it, and last, for the
-        first text, what it owes to pairs within it: how far they are more frequent than their characters alone."""
+    def log_probabilities(self, texts: list[str]) -> tuple[list[float], float]:
+        """For each text the sum of the log probabilities of each character after the one before it; and, for the first
+        text, what it owes to pairs within it: how far they are more frequent than their characters alone."""
         codes = _codes("".join(texts))
-        ends = np.cumsum([len(t) for t in texts])
+        sizes = np.array([len(t) for t in texts])
+        ends = sizes.cumsum()
         alone = (self.second[codes[1:]] + 0.01) / self.total
         each = np.log((1 - UNSEEN) * self.pairs(codes) / np.maximum(self.first[codes[:-1]], 1.0) + UNSEEN * alone)
         inner = slice(1, ends[0] - 2)
         bonus = np.maximum(each[inner] - np.log(alone[inner]), 0.0).sum()
         each[ends[:-1] - 1] = 0.0  # from one text to the next
-        return np.r_[np.add.reduceat(each, np.r_[0, ends[:-1]]), bonus]
+        return np.add.reduceat(each, ends - sizes).tolist(), float(bonus)
 
 
 # --- decisions ----------------------------------------------------------------------------------------------------
@@ -268,7 +269,7 @@ class Repairer:
         return np.column_stack([begin, end])[worst < THRESHOLD]
 
     def gains(self, before: str, run: str, after: str, mappings: dict[str, list[str]], kind: str) -> list[tuple[float, tuple[str, str]]]:
-        """``(gain, mapping)`` of the mappings that make a run more probable."""
+        """``(gain, mapping)`` of the mappings that make a run more probable, or else its East Asian and other parts."""
         key = (kind, before, run, after)
         known = self._memo.get(key)
         if known is None:
@@ -276,11 +277,14 @@ class Repairer:
             known = []
             if backs:
                 texts = list(dict.fromkeys(backs.values()))
-                sums = self.statistics.log_probabilities([before + run + after, *(before + back + after for back in texts)])
-                gain = {back: float(x - sums[0]) for back, x in zip(texts, sums[1:-1])}
+                (own, *sums), bonus = self.statistics.log_probabilities([before + run + after, *(before + back + after for back in texts)])
+                gain = {back: x - own for back, x in zip(texts, sums)}
                 # Pairs of characters that UTF-8 makes of one are frequent only because texts were garbled.
-                weighed = [(gain[back] + (sums[-1] if m[1] == "utf-8" else 0.0), m) for m, back in backs.items()]
+                weighed = [(gain[back] + (bonus if m[1] == "utf-8" else 0.0), m) for m, back in backs.items()]
                 known = [(g, m) for g, m in weighed if g > 0]
+            if not known and len(parts := (SPLIT if kind == "n" else SPLIT_WIDE).findall(run)) > 1:
+                around = [before, *parts, after]
+                known = [g for k, part in enumerate(parts) for g in self.gains(around[k][-1], part, around[k + 2][0], mappings, kind)]
             if len(self._memo) >= MEMO_ENTRIES:
                 self._memo.clear()
             self._memo[key] = known
@@ -290,11 +294,7 @@ class Repairer:
         """Best gain and sum of gains beyond the toll, by mapping."""
         best, total = Counter(), Counter()
         for (before, run, after), times in Counter((text[a - 1 : a] or "\n", text[a:b], text[b : b + 1] or "\n") for a, b in runs).items():
-            found = self.gains(before, run, after, mappings, kind)
-            if not found and len(parts := (SPLIT if kind == "n" else SPLIT_WIDE).findall(run)) > 1:
-                around = [before, *parts, after]
-                found = [g for k, part in enumerate(parts) for g in self.gains(around[k][-1], part, around[k + 2][0], mappings, kind)]
-            for gain, mapping in found:
+            for gain, mapping in self.gains(before, run, after, mappings, kind):
                 best[mapping] = max(best[mapping], gain)
                 total[mapping] += times * (gain if mapping[1] == "utf-8" else max(0.0, gain - OTHER_TOLL))
         return best, total
@@ -327,8 +327,8 @@ class Repairer:
             elif mapping[1] == "utf-8":
                 scores.append(1.0)  # what decodes as UTF-8 in a text that was read wrongly was read wrongly, too
             else:
-                before, after, _ = self.statistics.log_probabilities([text[a:b].join(context), back.join(context)])
-                scores.append(float(after - before))
+                (own, other), _ = self.statistics.log_probabilities([text[a:b].join(context), back.join(context)])
+                scores.append(other - own)
         out, at = [], 0
         for first, last in maximal_segments(scores):
             for i in range(first, last):
