@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 #: Upper bound of the rows fetched to shape the quadtree.
 SAMPLE_ROWS = 50_000
 #: Rows one tile should hold, and rows one bundle of tiles should hold.
-TILE_ROWS = 20_000
-BUNDLE_ROWS = 60_000
+TILE_ROWS = 10_000
+BUNDLE_ROWS = 20_000
 MAX_DEPTH = 16
 FANOUT = 16
 _MIN_SAMPLE = 24

@@ -299,9 +299,16 @@ def largest_pours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dense_net_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    """Nets of a board numbered from 0 without gaps, in the order of their first ids."""
-    nets = once(spark, folder, "nets", "board_id", "net_name").groupBy("board_id", "net_name").agg(F.min("net_id").alias("first_id"))
-    return nets.select("board_id", "net_name", (F.dense_rank().over(Window.partitionBy("board_id").orderBy("first_id")) - 1).alias("number"))
+    """Nets of a board numbered from 0 without gaps, in the order of their first ids.
+
+    Ids are numbered in blocks, and blocks are offset by the sizes of those before, so a large board is not one task.
+    """
+    nets = once(spark, folder, "nets", "board_id", "net_name").groupBy("board_id", "net_name").agg(F.min("net_id").alias("first_id")).withColumn("block", F.expr("first_id div 65536"))
+    sizes = nets.groupBy("board_id", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("board_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("board_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("board_id", "block").orderBy("first_id")) - 1
+    return nets.withColumn("within", within).join(offsets, ["board_id", "block"]).select("board_id", "net_name", (F.col("within") + F.col("before")).alias("number"))
 
 
 # --- labels, capacity, output -------------------------------------------------------------------------------------
