@@ -4,7 +4,7 @@ import pytest
 
 from voltmill.functions.electrical import COPPER, SIGMA
 from voltmill.operators.shred import ANALYSIS, parse, shred
-from voltmill.plans.analyze import Settings, analyze, response
+from voltmill.plans.analyze import Settings, analyze, meshes_within, response, shown_meshes
 
 S = SIGMA * COPPER
 
@@ -63,3 +63,13 @@ def test_response_can_be_shredded(spark, solved):
     assert body["r1"]["success"] and {x["layer_name"] for x in body["r1"]["layer_solutions"]} == {"TopLayer", "BottomLayer"}
     back = shred(rows.select("run", parse("response", "result", "layer_solutions").alias("v")), "run", "v", ANALYSIS, "analysis", {"triangle"})["triangle"]
     assert back.count() == solved["triangles"].count()
+
+
+def test_budgets(spark):
+    rings = "array<array<struct<x:double,y:double>>>"
+    copper = spark.createDataFrame([("a", "T", "N", "p", [box(0, 0, 20, 20)]), ("b", "T", "N", "q", [box(0, 0, 2, 2)]), ("b", "T", "N", "s", [box(5, 0, 20, 20)])], f"run string, layer string, net string, poly string, rings {rings}")
+    v, t = meshes_within(copper, 1.0, most=200)
+    counts = {r.run: r["count"] for r in v.groupBy("run").count().collect()}
+    assert set(counts) == {"a", "b"} and max(counts.values()) <= 200 and t.count() > 50
+    shown, _ = shown_meshes(copper, copper.filter("poly = 'p'"), 1.0, most=60)
+    assert {r.poly for r in shown.select("poly").distinct().collect()} == {"q"}

@@ -41,6 +41,19 @@ def fitted_scale(from_w: Column, from_h: Column, to_w: Column, to_h: Column) ->
     return F.when(F.abs(ratio - 25.4) < 5, F.lit(1 / 25.4)).otherwise(1.0)
 
 
+def fitted_transform(source: Column, target: Column) -> Column:
+    """``struct<scale, dx, dy>`` that maps the middle of one box to that of another, in the unit the sizes tell."""
+    scale = fitted_scale(source.x1 - source.x0, source.y1 - source.y0, target.x1 - target.x0, target.y1 - target.y0)
+    dx = (target.x0 + target.x1) / 2 - scale * (source.x0 + source.x1) / 2
+    dy = (target.y0 + target.y1) / 2 - scale * (source.y0 + source.y1) / 2
+    return F.struct(scale.alias("scale"), dx.alias("dx"), dy.alias("dy"))
+
+
+def mirrored(ring: Column | str, cx: Column) -> Column:
+    """Mirrored left to right at ``cx``."""
+    return F.transform(col(ring), lambda p: point(2 * cx - p.x, p.y))
+
+
 def dot(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return ax * bx + ay * by
 
