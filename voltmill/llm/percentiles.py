@@ -81,9 +81,10 @@ def value_counts(rows: DataFrame, keys: list[str], lists: dict[str, str], measur
 def combine(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """One partial result from several; ``keys`` may be fewer than the parts have."""
     every = reduce(lambda a, b: a.unionByName(b), [p.select(*keys, "value", "n") for p in parts])
-    # Partitioned as percentiles need it, which then sort and join without another shuffle.
-    placed = _keyed(every, keys).repartition("_h", "_i", "_range")
-    return placed.groupBy("_h", "_i", *keys, "_range", "value").agg(F.sum("n").alias("n")).select(*keys, "value", "n", "_h", "_i", "_range")
+    counts = every.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    # Summed by value first, so that a range of a hot group arrives as its distinct values and not once per batch; then
+    # partitioned as percentiles need it, which sort and join without another shuffle.
+    return _keyed(counts, keys).repartition("_h", "_i", "_range").select(*keys, "value", "n", "_h", "_i", "_range")
 
 
 def value_range(value: Column) -> Column:
