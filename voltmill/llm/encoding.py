@@ -37,7 +37,7 @@ SLICE_BYTES = 1 << 20
 # The splitting pattern of the vocabulary, its contractions, and the UTF-8 forms of white space beyond ASCII.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-WIDE_SPACES = "\x85\xa0                　"
+WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class ForcedBoundaryEncoder:

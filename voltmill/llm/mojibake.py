@@ -64,7 +64,7 @@ WIDE = re.compile(r"(?:[^\x00-\x7f]+[@-~]?)+")
 #: East Asian characters, which a run of other garbled ones may adjoin, and the rest.
 SPLIT = re.compile(r"[\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+|[^\x00-\x7f\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+")
 SPLIT_WIDE = re.compile(r"(?:[\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+[@-~]?)+|(?:[^\x00-\x7f\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+[@-~]?)+")
-LOST = "�"
+LOST = "\ufffd"
 
 
 def _lenient(name: str):  # noqa: ANN202
