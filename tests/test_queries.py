@@ -5,13 +5,13 @@ import os
 
 import pytest
 
-from voltmill.plans import board_queries, inventory_queries, inventory_sql
+from voltmill.plans import board_queries, inventory_queries, inventory_sql, mesh_queries
 
 FOLDER = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data here")
-QUERIES = board_queries.QUERIES | inventory_queries.QUERIES
-SQL = board_queries.ORACLES | inventory_sql.ORACLES
+QUERIES = board_queries.QUERIES | inventory_queries.QUERIES | mesh_queries.QUERIES
+SQL = board_queries.ORACLES | inventory_sql.ORACLES | mesh_queries.ORACLES
 
 
 def connect():
@@ -27,9 +27,17 @@ def tidy(rows, columns):
     return sorted(columns), sorted(tuple(number(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     found = QUERIES[name](spark, FOLDER)
     got = tidy([tuple(r) for r in found.collect()], found.columns)
     result = connect().execute(SQL[name])
     assert got == tidy(result.fetchall(), [d[0] for d in result.description])
+
+
+def test_merged_pours(spark):
+    whole = {(r.board_id, r.net, r.layer): r for r in QUERIES["merged_pours"](spark, FOLDER).collect()}
+    single = {r.pour_id: r for r in QUERIES["pour_geometry"](spark, FOLDER).collect()}
+    assert whole and sum(r.area for r in whole.values()) <= sum(r.area for r in single.values()) * (1 + 1e-6)
+    assert all(r.area > 0 and r.polygons >= 1 for r in whole.values())
+    assert all(0.05 <= r.width <= 10 for r in QUERIES["pour_widths"](spark, FOLDER).collect())

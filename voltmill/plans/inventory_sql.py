@@ -29,7 +29,7 @@ st as (select layer_id, ln layer, conductance, row_number() over (order by case
 _FAR = "abs({0}) <> 'inf'::double and not isnan({0}) and {0} is not null"
 _FINITE = f"{_FAR.format('x')} and {_FAR.format('y')}"
 _MESH = _BOARD["p2_triangles"].removesuffix("select * from triangles")
-_CORNERS = (
+CORNERS = (
     _MESH
     + """, vv as (select * from vertices where "role" = 'meshes'),
 t as (select t.solution_id, t.layer_no, t.mesh_no, t.triangle_no, t.v0, t.v1, t.v2, a.x ax, a.y ay, b.x bx, b.y b_y, c.x cx, c.y cy, a.potential ua, b.potential ub, c.potential uc
@@ -43,7 +43,7 @@ g as (select *, (ua * (b_y - cy) + ub * (cy - ay) + uc * (ay - b_y)) / dd gx, (u
 )
 _ANGLE = "degrees(acos(greatest(-1, least(1, ({u} * {u} + {v} * {v} - {w} * {w}) / nullif(2 * {u} * {v}, 0)))))"
 _LAPLACE = (
-    _CORNERS
+    CORNERS
     + """, h as (
   select solution_id, layer_no, mesh_no, triangle_no, v1 a, v2 b, ((bx - ax) * (cx - ax) + (b_y - ay) * (cy - ay)) / abs(det) / 2 w from d where abs(det) >= 1e-15 union all
   select solution_id, layer_no, mesh_no, triangle_no, v2, v0, ((cx - bx) * (ax - bx) + (cy - b_y) * (ay - b_y)) / abs(det) / 2 from d where abs(det) >= 1e-15 union all
@@ -129,8 +129,8 @@ ORACLES = {
       select net, layer, round(i, 4) as "current", round(lim, 4) capacity, round(i / lim, 3) utilization, i / lim > 1 exceeded from li where i / lim > 0.8""",
     "via_positions": _CTE + f"select via_id, x, y, round(greatest(case when coalesce(hole_diameter, 0) <= 0 then 0.3 else hole_diameter end + 0.4, 0.5), 4) diameter, round(case when coalesce(hole_diameter, 0) <= 0 then 0.3 else hole_diameter end, 4) hole from v where {_FINITE}",
     "connection_points": _CTE + "select board_id, ln layer, kind, count(*) points from e where ln is not null group by 1, 2, 3",
-    "triangle_fields": _CORNERS + "select solution_id, layer_no, mesh_no, triangle_no, round(abs(det) / 2, 4) area, round(5.95e4::double * 0.035::double * (gx * gx + gy * gy), 3) as power, round(-5.95e4::double * 0.035::double * gx, 3) jx, round(-5.95e4::double * 0.035::double * gy, 3) jy from g",
-    "mesh_quality": _CORNERS + f"""select solution_id, layer_no, mesh_no, count(*) triangles, round(sum(abs(det) / 2), 3) area, round(max(abs(det) / 2), 4) largest, count(*) filter (where greatest(ab, bc, ca) / least(ab, bc, ca) > 5) thin,
+    "triangle_fields": CORNERS + "select solution_id, layer_no, mesh_no, triangle_no, round(abs(det) / 2, 4) area, round(5.95e4::double * 0.035::double * (gx * gx + gy * gy), 3) as power, round(-5.95e4::double * 0.035::double * gx, 3) jx, round(-5.95e4::double * 0.035::double * gy, 3) jy from g",
+    "mesh_quality": CORNERS + f"""select solution_id, layer_no, mesh_no, count(*) triangles, round(sum(abs(det) / 2), 3) area, round(max(abs(det) / 2), 4) largest, count(*) filter (where greatest(ab, bc, ca) / least(ab, bc, ca) > 5) thin,
       count(*) filter (where least({_ANGLE.format(u='ab', v='ca', w='bc')}, {_ANGLE.format(u='ab', v='bc', w='ca')}, {_ANGLE.format(u='bc', v='ca', w='ab')}) < 10) sharp from d group by 1, 2, 3""",
     "boundary_edges": _MESH + """, ed as (select solution_id, layer_no, mesh_no, least(v0, v1) a, greatest(v0, v1) b from triangles where "role" = 'meshes' union all
       select solution_id, layer_no, mesh_no, least(v1, v2), greatest(v1, v2) from triangles where "role" = 'meshes' union all select solution_id, layer_no, mesh_no, least(v2, v0), greatest(v2, v0) from triangles where "role" = 'meshes')

@@ -10,7 +10,7 @@ from ..operators.mesh import trace_widths
 from ..operators.polygons import combine_groups
 from ..tables import known, once_per_key, table
 from .inventory_queries import boundary_edges, corners
-from .inventory_sql import _CORNERS as CORNERS
+from .inventory_sql import CORNERS
 
 #: Cells of the grid that samples a mesh, each way.
 CELLS = 20
