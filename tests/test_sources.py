@@ -57,12 +57,13 @@ def test_polygons_and_drills(spark, files):
 
 def test_config(spark, tmp_path):
     pad = {"x": 1, "y": 2, "layer": "TopLayer", "net": "3V3", "is_tht": False}
-    body = {"project_name": "p", "gnd_net": "GND", "layers": [{"name": "TopLayer", "conductance": 0, "layer_id": 1}], "sources": [{"net": "3V3", "voltage": 3.3, "pads": [pad, pad]}], "loads": [{"net": "3V3", "gnd_net": "AGND", "current": 0.5, "pads": [pad]}]}
+    body = {"project_name": "p", "editor_bounds": {"minX": 1, "maxX": 2.5}, "gnd_net": "GND", "layers": [{"name": "TopLayer", "conductance": 0, "layer_id": 1}], "sources": [{"net": "3V3", "voltage": 3.3, "pads": [pad, pad]}], "loads": [{"net": "3V3", "gnd_net": "AGND", "current": 0.5, "pads": [pad]}]}
     (tmp_path / "a.json").write_text(json.dumps(body))
     (tmp_path / "b.json").write_text("{broken")
     tables = config_tables(read_configs(spark, str(tmp_path / "*.json")))
     assert tables["terminals"].count() == 3 and tables["tracks"].count() == 0
     assert tables["layers"].first().conductance == 1.0 and tables["runs"].first().temp_rise == 10.0
+    assert tables["runs"].first().bounds.maxX == 2.5
     assert {r.net for r in target_nets(tables).collect()} == {"3V3", "GND", "AGND"}
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 PAD = "struct<x:double,y:double,layer:string,net:string,is_tht:boolean,hole_diameter:double,pin_name:string>"
 POINT = "struct<x:double,y:double>"
+BOUNDS = "struct<minX:double,minY:double,maxX:double,maxY:double>"
 #: The schema of a run configuration; lengths in millimetres.
 SCHEMA = f"""struct<project_name:string, gnd_net:string, temp_rise:double,
  layers:array<struct<name:string,conductance:double,layer_id:int>>, layer_cu_thickness:map<string,double>,
- easyeda_bounds:struct<minX:double,minY:double,maxX:double,maxY:double>, pads:array<{PAD}>,
+ pads:array<{PAD}>,
  vias:array<struct<x:double,y:double,hole_diameter:double,diameter:double,layer_names:array<string>,net:string,via_type:string>>,
  tracks:array<struct<net:string,width:double,layer:int,x1:double,y1:double,x2:double,y2:double>>,
  sources:array<struct<net:string,voltage:double,gnd_net:string,ref_des:string,pads:array<{PAD}>,gnd_pads:array<{PAD}>>>,
@@ -19,9 +20,12 @@ SCHEMA = f"""struct<project_name:string, gnd_net:string, temp_rise:double,
 
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
-    """``(run, config)`` of JSON files, one document each; ``run`` is the file name. Text that is no JSON has a null config."""
+    """``(run, config, bounds)`` of JSON files, one document each; ``run`` is the file name. Text that is no JSON has a null
+    config. ``bounds`` is the box the editor gives, in the first member whose name ends with ``_bounds``."""
     texts = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("run"), "value")
-    return texts.select("run", F.from_json("value", SCHEMA).alias("config"))
+    members = F.map_entries(F.from_json("value", "map<string,string>"))
+    bounds = F.get(F.filter(members, lambda m: F.lower(m.key).endswith("_bounds")), F.lit(0)).value
+    return texts.select("run", F.from_json("value", SCHEMA).alias("config"), F.from_json(bounds, BOUNDS).alias("bounds"))
 
 
 def config_tables(configs: DataFrame) -> dict[str, DataFrame]:
@@ -30,12 +34,12 @@ def config_tables(configs: DataFrame) -> dict[str, DataFrame]:
     Absent members have no rows; absent numbers are 0, absent temperature rise 10, absent conductance 1, absent names
     empty. ``position`` orders layers as listed.
     """
-    c = configs.filter("config is not null").select("run", "config.*")
+    c = configs.filter("config is not null").select("run", "config.*", "bounds")
     member = lambda name, no: c.select("run", F.posexplode(name).alias(no, "m")).select("run", no, "m.*")
     named = lambda *names: [F.coalesce(n, F.lit("")).alias(n) for n in names]
     number = lambda *names: [F.coalesce(n, F.lit(0.0)).alias(n) for n in names]
     out = {
-        "runs": c.select("run", *named("project_name", "gnd_net"), F.coalesce("temp_rise", F.lit(10.0)).alias("temp_rise"), "easyeda_bounds"),
+        "runs": c.select("run", *named("project_name", "gnd_net"), F.coalesce("temp_rise", F.lit(10.0)).alias("temp_rise"), "bounds"),
         "layers": member("layers", "position").select("run", "position", *named("name"), F.coalesce(F.nullif("conductance", F.lit(0.0)), F.lit(1.0)).alias("conductance"), "layer_id"),
         "thickness": c.select("run", F.explode("layer_cu_thickness").alias("layer", "thickness")),
         "pads": member("pads", "pad_no"),
