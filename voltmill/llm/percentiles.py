@@ -81,10 +81,7 @@ def value_counts(rows: DataFrame, keys: list[str], lists: dict[str, str], measur
 def combine(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """One partial result from several; ``keys`` may be fewer than the parts have."""
     every = reduce(lambda a, b: a.unionByName(b), [p.select(*keys, "value", "n") for p in parts])
-    counts = every.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
-    # Summed by value first, so that a range of a hot group arrives as its distinct values and not once per batch; then
-    # partitioned as percentiles need it, which sort and join without another shuffle.
-    return _keyed(counts, keys).repartition("_h", "_i", "_range").select(*keys, "value", "n", "_h", "_i", "_range")
+    return every.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
 
 
 def value_range(value: Column) -> Column:
@@ -101,14 +98,13 @@ def percentiles(counts: DataFrame, keys: list[str], permille: dict[str, int]) ->
     The p-th percentile of n values is the value of rank ``ceil(p * n)``, at least 1. A null key is a group like any
     other. No counts give no rows.
     """
-    if "_range" not in counts.columns:
-        counts = combine([counts], keys)
     place = ["_h", "_i", "_range"]
-    sums = counts.groupBy(*place, *keys).agg(F.sum("n").alias("_in_range"))
+    placed = _keyed(counts, keys)
+    sums = placed.groupBy(*place, *keys).agg(F.sum("n").alias("_in_range"))
     group = Window.partitionBy("_h", "_i")
     before = F.sum("_in_range").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     ranks = {name: F.greatest(F.lit(1), F.expr(f"(_total * {p} + 999) div 1000")) for name, p in permille.items()}
-    offsets = sums.select(*place, "_in_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_in_range").over(group).alias("_total"))
+    offsets = sums.select(*place, *keys, "_in_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_in_range").over(group).alias("_total"))
     # Only the ranges in which a rank lies need a look at their rows.
     hit = F.lit(False)
     for rank in ranks.values():
@@ -116,7 +112,8 @@ def percentiles(counts: DataFrame, keys: list[str], permille: dict[str, int]) ->
     offsets = offsets.filter(hit).drop("_in_range")
 
     running = Window.partitionBy(*place).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_running", F.sum("n").over(running)).join(offsets, place)
+    # Counts travel without their keys, which come back with the offsets.
+    ranked = placed.select(*place, "value", "n").withColumn("_running", F.sum("n").over(running)).join(offsets, place)
     reached = F.col("_running") + F.col("_before")
     firsts = [F.min(F.when(reached >= rank, F.col("value"))).alias(name) for name, rank in ranks.items()]
     return ranked.groupBy("_h", "_i", *keys).agg(F.max("_total").alias("n"), *firsts).select(*keys, "n", *permille)
