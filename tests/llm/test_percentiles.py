@@ -56,6 +56,16 @@ def test_kept_partials_combine(spark):
     assert sum(r.n for r in by_net) == sum(1 for d in data for vs in d[3:] for v in vs or [] if v is not None and not math.isnan(v))
 
 
+def test_roll_up(spark):
+    data = rows(random.Random(8))
+    counts = value_counts(spark.createDataFrame(data, SCHEMA), ["net", "day"], {"x": "xs", "y": "ys"}, "m")
+    got = percentiles(counts, ["net", "m"], P, roll_up=["day"]).collect()
+    check(data, [r for r in got if r.level == "each"])
+    whole = [r for r in got if r.level == "all"]
+    assert all(r.day is None for r in whole)
+    check([(net, None, v, xs, ys) for net, _, v, xs, ys in data], whole)
+
+
 def test_empty(spark):
     counts = value_counts(spark.createDataFrame([], SCHEMA), ["net", "day"], {"x": "xs"})
     assert percentiles(counts, ["net", "day", "measure"], P).collect() == []

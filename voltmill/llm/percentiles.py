@@ -35,9 +35,10 @@ def _rounded_array(values: np.ndarray, bits: int) -> np.ndarray:
         return np.where(np.abs(values) < 2.0**960, spread - (spread - values), values) + 0.0
 
 
-def _keyed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds what partitions and orders counts: 96 bits of hash that tell groups apart, and the range of the value."""
-    return rows.select(F.xxhash64(*keys).alias("_h"), F.hash(*keys).alias("_i"), *keys, value_range(F.col("value")).alias("_range"), "value", "n")
+def _keyed(rows: DataFrame, keys: list[str], more: list[str]) -> DataFrame:
+    """Adds what partitions and orders counts: 96 bits of hash that tell the groups of ``keys`` apart, and the range of
+    the value."""
+    return rows.select(F.xxhash64(*keys).alias("_h"), F.hash(*keys).alias("_i"), *keys, *more, value_range(F.col("value")).alias("_range"), "value", "n")
 
 
 def value_counts(rows: DataFrame, keys: list[str], lists: dict[str, str], measure: str = "measure", bits: int = BITS) -> DataFrame:
@@ -92,28 +93,50 @@ def value_range(value: Column) -> Column:
     return F.coalesce(number, F.lit(0))  # never null, for the sake of the planner
 
 
-def percentiles(counts: DataFrame, keys: list[str], permille: dict[str, int]) -> DataFrame:
-    """``(keys, n, one column per entry of permille)`` from a partial result.
+def percentiles(counts: DataFrame, keys: list[str], permille: dict[str, int], roll_up: list[str] = ()) -> DataFrame:
+    """``(keys, roll_up, level, n, one column per entry of permille)`` from a partial result.
 
     The p-th percentile of n values is the value of rank ``ceil(p * n)``, at least 1. A null key is a group like any
-    other. No counts give no rows.
+    other. No counts give no rows. With ``roll_up``, each group of ``keys`` has a row for all its values (``level`` is
+    ``all``, the columns of ``roll_up`` null) beside those for each combination of ``roll_up`` (``level`` is ``each``);
+    without, ``level`` is ``all``. Both levels are read off one partitioning by ``keys`` and range.
     """
+    roll_up = list(roll_up)
     place = ["_h", "_i", "_range"]
-    placed = _keyed(counts, keys)
-    sums = placed.groupBy(*place, *keys).agg(F.sum("n").alias("_in_range"))
-    group = Window.partitionBy("_h", "_i")
-    before = F.sum("_in_range").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    placed = _keyed(counts, keys, roll_up)
+    part = [F.col(k).alias(k) for k in roll_up]
+    levels = [F.struct(F.lit("all").alias("level"), *[F.lit(None).cast(t).alias(k) for k, t in placed.select(*roll_up).dtypes])]
+    if roll_up:
+        levels.append(F.struct(F.lit("each").alias("level"), *part))
+    group = ["_h", "_i", "level", *roll_up]
+
+    def leveled(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select(*columns, F.inline(F.array(*levels)))
+
+    sums = leveled(placed, *place, *keys, "n").groupBy(*group, "_range", *keys).agg(F.sum("n").alias("_in_range"))
+    whole = Window.partitionBy(*group)
+    before = F.sum("_in_range").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     ranks = {name: F.greatest(F.lit(1), F.expr(f"(_total * {p} + 999) div 1000")) for name, p in permille.items()}
-    offsets = sums.select(*place, *keys, "_in_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_in_range").over(group).alias("_total"))
+    offsets = sums.select(*group, "_range", *keys, "_in_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_in_range").over(whole).alias("_total"))
     # Only the ranges in which a rank lies need a look at their rows.
     hit = F.lit(False)
     for rank in ranks.values():
         hit = hit | ((F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_in_range")))
-    offsets = offsets.filter(hit).drop("_in_range")
-
-    running = Window.partitionBy(*place).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    # Counts travel without their keys, which come back with the offsets.
-    ranked = placed.select(*place, "value", "n").withColumn("_running", F.sum("n").over(running)).join(offsets, place)
+    offsets = offsets.filter(hit)
+
+    # Counts and offsets come to one place, counts without their keys. Without value, the offset of a range sorts first.
+    none = lambda name: F.lit(None).cast("long").alias(name)
+    lines = placed.select(*place, F.lit(None).cast("string").alias("_level"), *roll_up, "value", "n", none("_before"), none("_total"))
+    lines = lines.unionByName(offsets.select(*place, F.col("level").alias("_level"), *roll_up, F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n"), "_before", "_total"))
+    lines = lines.repartition(*place)
+    own = F.array(F.struct(F.col("_level").alias("level"), *part))
+    lines = lines.select(*place, "value", "n", "_before", "_total", F.inline(F.when(F.col("_level").isNull(), F.array(*levels)).otherwise(own)))
+    lines = lines.groupBy(*place, "level", *roll_up, "value").agg(F.sum("n").alias("n"), F.max("_before").alias("_before"), F.max("_total").alias("_total"))
+    so_far = Window.partitionBy(*place, "level", *roll_up).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = lines.select(*group, "value", *[f("n" if c == "_running" else c).over(so_far).alias(c) for c, f in (("_running", F.sum), ("_before", F.max), ("_total", F.max))])
+    ranked = ranked.filter("value is not null and _total is not null")
     reached = F.col("_running") + F.col("_before")
     firsts = [F.min(F.when(reached >= rank, F.col("value"))).alias(name) for name, rank in ranks.items()]
-    return ranked.groupBy("_h", "_i", *keys).agg(F.max("_total").alias("n"), *firsts).select(*keys, "n", *permille)
+    picked = ranked.groupBy(*group).agg(F.max("_total").alias("n"), *firsts)
+    names = offsets.select("_h", "_i", *keys).distinct()
+    return picked.join(names, ["_h", "_i"]).select(*keys, *roll_up, "level", "n", *permille)

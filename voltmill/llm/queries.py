@@ -10,7 +10,7 @@ from .components import component_ids, star_edges
 from .encoding import count_tokens, encode_texts
 from .mojibake import find_garbled
 from .packing import pack
-from .percentiles import BITS, combine, percentiles, value_counts
+from .percentiles import BITS, percentiles, value_counts
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,10 +47,8 @@ def p3_partials(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of potentials and power densities per net (period ``all``) and per net and day (period ``day``)."""
-    daily = mesh_value_counts(spark, folder)
-    by_day = percentiles(daily, ["net", "day", "measure"], PERMILLE).withColumn("period", F.lit("day"))
-    by_net = percentiles(combine([daily], ["net", "measure"]), ["net", "measure"], PERMILLE).withColumn("period", F.lit("all"))
-    return by_day.unionByName(by_net.withColumn("day", F.lit(None).cast("string"))).select("period", "net", "day", "measure", "n", *PERMILLE)
+    found = percentiles(mesh_value_counts(spark, folder), ["net", "measure"], PERMILLE, roll_up=["day"])
+    return found.select(F.when(F.col("level") == "each", "day").otherwise("all").alias("period"), "net", "day", "measure", "n", *PERMILLE)
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
