@@ -88,3 +88,9 @@ def test_pack_rows(spark):
         assert len(own) == max(1, -(-(n or 0) // 100))
         assert [c is None for _, _, c in own] == [not n] * len(own)
     assert pack(spark.createDataFrame([], "doc_id long, n long"), "n", 100).collect() == []
+
+
+def test_pack_replaces_columns_of_the_result(spark):
+    out = pack(spark.createDataFrame([(1, 120, "x"), (2, 30, "y")], "doc_id long, piece_size long, container_id string"), "piece_size", 100)
+    assert out.columns == ["doc_id", "piece_no", "piece_start", "piece_size", "container_id"]
+    assert sorted((r.doc_id, r.piece_start, r.piece_size) for r in out.collect()) == [(1, 0, 100), (1, 100, 20), (2, 0, 30)]

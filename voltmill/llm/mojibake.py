@@ -366,6 +366,8 @@ def find_garbled(documents: DataFrame, text: str, prefix: str = "") -> DataFrame
     columns of these names are replaced. Null and empty texts and pure ASCII are never garbled. Repeated rows stay.
     """
     names = [f"{prefix}{n}" for n in ("mappings", "restored", "gain")]
+    if text in names:
+        raise ValueError(f"{text} is a column of the result; choose a prefix")
     kept = documents.drop(*names)
     statistics = PairStatistics.of(staged(pair_counts(documents, text), "pairs"))
     shared = documents.sparkSession.sparkContext.broadcast((statistics.sketch, statistics.first, statistics.second))

@@ -22,6 +22,10 @@ from pyspark.sql import types as T
 from ..staging import staged
 
 
+#: Columns of the result.
+RESULT = ("piece_no", "piece_start", "piece_size", "container_id")
+
+
 def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Entries ``(size, first rank, items, first container, items per container)`` and the number of containers."""
     left = {s: n for s, n in histogram.items() if n > 0}
@@ -100,15 +104,17 @@ def pack(items: DataFrame, size: str, capacity: int) -> DataFrame:
 
     An item longer than the capacity is split into full pieces and a rest; no other item is split. Containers are
     numbered from 0 without gaps. An item of size 0 or of null or negative size takes no room: one row, with a null
-    container. Repeated rows are items of their own, all other columns are kept.
+    container. Repeated rows are items of their own, all other columns are kept; columns that bear the name of a result
+    column are replaced.
 
     Ranks among equal sizes come from the items' partitions and offsets between these, so a size that a third of all
     items have is never brought into one task.
     """
-    names = items.columns
-    pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.expr(f"(coalesce(`{size}`, 0) - 1) div {capacity}")).cast("long"))
+    names = [c for c in items.columns if c not in RESULT]
+    items = items.select(*names, F.col(size).alias("_size"))
+    pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.expr(f"(coalesce(_size, 0) - 1) div {capacity}")).cast("long"))
     cut = items.withColumn("piece_no", F.explode(pieces)).withColumn("piece_start", F.col("piece_no") * capacity)
-    cut = cut.withColumn("piece_size", F.greatest(F.lit(0), F.least(F.lit(capacity), F.coalesce(F.col(size), F.lit(0)) - F.col("piece_start"))).cast("int"))
+    cut = cut.withColumn("piece_size", F.greatest(F.lit(0), F.least(F.lit(capacity), F.coalesce("_size", F.lit(0)) - F.col("piece_start"))).cast("int"))
     cut = staged(cut.withColumn("_part", F.spark_partition_id()).withColumn("_order", F.monotonically_increasing_id()), "items")
 
     per_part = cut.filter("piece_size > 0").groupBy("piece_size", "_part").agg(F.count("*").alias("_n"))

@@ -48,6 +48,8 @@ def value_counts(rows: DataFrame, keys: list[str], lists: dict[str, str], measur
     batch of rows is reduced to counts before it is shuffled, so a value or group that a third of all rows have arrives
     as one row per batch. Lists longer than ``CHUNK`` are cut, so a batch is bounded whatever the lengths are.
     """
+    if {"value", "n", "level", measure} & set(keys):
+        raise ValueError("keys must not be called value, n, level or as the measure")
     chunks = F.greatest(F.lit(0), *[F.expr(f"(coalesce(size(`{c}`), 0) - 1) div {CHUNK}") for c in lists.values()])
     cut = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long"))))
     cut = cut.select(*keys, *[F.slice(F.col(c), F.expr(f"cast(_chunk * {CHUNK} + 1 as int)"), CHUNK).alias(f"_l{i}") for i, c in enumerate(lists.values())])
