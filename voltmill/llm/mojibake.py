@@ -40,7 +40,7 @@ UNSEEN = 0.1
 #: Gain in nats that one run needs with UTF-8 as the true encoding.
 UTF8_GAIN = 1.0
 #: Gain in nats that all runs need together with another one, after what each must gain first.
-OTHER_GAIN, OTHER_TOLL = 6.0, 1.5
+OTHER_GAIN, OTHER_TOLL = 4.0, 1.5
 #: Times a text may have been garbled, and runs a worker remembers.
 ROUNDS = 3
 MEMO_ENTRIES = 100_000
@@ -274,6 +274,8 @@ class Repairer:
         known = self._memo.get(key)
         if known is None:
             backs = inverses(run, mappings)
+            if not any(c.isalpha() for c in run):  # single bytes that stood for words leave letters
+                backs = {m: back for m, back in backs.items() if m[1] == "utf-8"}
             known = []
             if backs:
                 texts = list(dict.fromkeys(backs.values()))
