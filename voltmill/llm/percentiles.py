@@ -127,13 +127,13 @@ def percentiles(counts: DataFrame, keys: list[str], permille: dict[str, int], ro
     offsets = offsets.filter(hit)
 
     # Counts and offsets come to one place, counts without their keys. Without value, the offset of a range sorts first.
+    # Equal values of several combinations need no sum: the first of them to reach a rank is that value.
     none = lambda name: F.lit(None).cast("long").alias(name)
     lines = placed.select(*place, F.lit(None).cast("string").alias("_level"), *roll_up, "value", "n", none("_before"), none("_total"))
     lines = lines.unionByName(offsets.select(*place, F.col("level").alias("_level"), *roll_up, F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n"), "_before", "_total"))
     lines = lines.repartition(*place)
     own = F.array(F.struct(F.col("_level").alias("level"), *part))
     lines = lines.select(*place, "value", "n", "_before", "_total", F.inline(F.when(F.col("_level").isNull(), F.array(*levels)).otherwise(own)))
-    lines = lines.groupBy(*place, "level", *roll_up, "value").agg(F.sum("n").alias("n"), F.max("_before").alias("_before"), F.max("_total").alias("_total"))
     so_far = Window.partitionBy(*place, "level", *roll_up).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = lines.select(*group, "value", *[f("n" if c == "_running" else c).over(so_far).alias(c) for c, f in (("_running", F.sum), ("_before", F.max), ("_total", F.max))])
     ranked = ranked.filter("value is not null and _total is not null")
