@@ -42,6 +42,22 @@ def test_finds_and_restores(spark):
             assert r.mappings == "lost" and r.restored is None
 
 
+def test_letters_that_became_symbols(spark):
+    """Passages whose only traces are symbols: box drawing, signs of division, superscripts."""
+    rows, _ = corpus()
+    rows = [r for r in rows if r[0] < 2000]
+    clean = {"ru": "плотность тока в проводнике выше нормы", "de": "Maß über größer", "fr": "à la masse, à côté de là"}
+    cases = [("koi8-r", "cp866", "ru"), ("cp1252", "cp850", "de"), ("cp1252", "mac_roman", "fr")]
+    rows += [(2000 + k, clean[lang] + f" R{k}", lang) for k, lang in enumerate([*clean] * 60)]
+    garbled = {3000 + k: (clean[lang], clean[lang].encode(true).decode(wrong)) for k, (true, wrong, lang) in enumerate(cases)}
+    assert not any(c.isalpha() for c in garbled[3000][1])
+    rows += [(k, text, None) for k, (_, text) in garbled.items()]
+    rows += [(4000, "It was safer. … Current of the pour … Revision … and … so on – “or” •", "en")]
+    found = {r.doc_id: r for r in find_garbled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text").collect()}
+    assert {k: r.mappings for k, r in found.items()} == {3000 + k: f"{wrong}/{true}" for k, (true, wrong, _) in enumerate(cases)}
+    assert found[3001].restored == garbled[3001][0]
+
+
 def test_empty_table(spark):
     assert find_garbled(spark.createDataFrame([], "doc_id long, text string"), "text").collect() == []
 

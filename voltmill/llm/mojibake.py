@@ -65,6 +65,8 @@ WIDE = re.compile(r"(?:[^\x00-\x7f]+[@-~]?)+")
 SPLIT = re.compile(r"[\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+|[^\x00-\x7f\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+")
 SPLIT_WIDE = re.compile(r"(?:[\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+[@-~]?)+|(?:[^\x00-\x7f\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+[@-~]?)+")
 LOST = "\ufffd"
+#: Punctuation that stands by itself in any text; unless it is inside a word, it is no evidence for single bytes.
+ORDINARY = frozenset("…–—‘’‚“”„°•")
 
 
 def _lenient(name: str):  # noqa: ANN202
@@ -274,7 +276,7 @@ class Repairer:
         known = self._memo.get(key)
         if known is None:
             backs = inverses(run, mappings)
-            if not any(c.isalpha() for c in run):  # single bytes that stood for words leave letters
+            if ORDINARY.issuperset(run) and not (before + after).isalpha():
                 backs = {m: back for m, back in backs.items() if m[1] == "utf-8"}
             known = []
             if backs:
