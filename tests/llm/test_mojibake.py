@@ -58,6 +58,16 @@ def test_letters_that_became_symbols(spark):
     assert found[3001].restored == garbled[3001][0]
 
 
+def test_garbled_beside_sound_text(spark):
+    """UTF-8 read as GBK with sound Chinese before and after it, nothing between them."""
+    rows, _ = corpus()
+    rows = [r for r in rows if r[0] < 2000]
+    sound, other = "该区域的", "功率密度"
+    rows.append((2000, "See: " + sound + other.encode().decode("gbk") + "偏高.", "zh"))
+    found = find_garbled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text").collect()
+    assert [(r.doc_id, r.mappings, r.restored) for r in found] == [(2000, "gbk/utf-8", "See: " + sound + other + "偏高.")]
+
+
 def test_empty_table(spark):
     assert find_garbled(spark.createDataFrame([], "doc_id long, text string"), "text").collect() == []
 

@@ -120,6 +120,18 @@ def inverses(text: str, mappings: dict[str, list[str]]) -> dict[tuple[str, str],
     return out
 
 
+_UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
+
+
+def utf8_stretches(run: str, wrong: str) -> list[tuple[int, int]]:
+    """Longest stretches of characters whose bytes in the double-byte encoding ``wrong`` are UTF-8 beyond ASCII."""
+    spans = [m.span() for m in _UTF8.finditer(run.encode(wrong, "replace")) if m.end() - m.start() >= 3]
+    if not spans:
+        return spans
+    border = {e: k for k, e in enumerate(np.cumsum([0, *(len(c.encode(wrong, "replace")) for c in run)]).tolist())}
+    return [(border[a], border[b]) for a, b in spans if a in border and b in border]
+
+
 def _by_wrong(mappings: list[tuple[str, str]]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for wrong, true in mappings:
@@ -275,25 +287,53 @@ class Repairer:
         key = (kind, before, run, after)
         known = self._memo.get(key)
         if known is None:
-            backs = inverses(run, mappings)
-            if ORDINARY.issuperset(run) and not (before + after).isalpha():
-                backs = {m: back for m, back in backs.items() if m[1] == "utf-8"}
-            known = []
-            if backs:
-                texts = list(dict.fromkeys(backs.values()))
-                (own, *sums), bonus = self.statistics.log_probabilities([before + run + after, *(before + back + after for back in texts)])
-                gain = {back: x - own for back, x in zip(texts, sums)}
-                # Pairs of characters that UTF-8 makes of one are frequent only because texts were garbled.
-                weighed = [(gain[back] + (bonus if m[1] == "utf-8" else 0.0), m) for m, back in backs.items()]
-                known = [(g, m) for g, m in weighed if g > 0]
+            known = self._tried(before, run, after, mappings)
             if not known and len(parts := (SPLIT if kind == "n" else SPLIT_WIDE).findall(run)) > 1:
                 around = [before, *parts, after]
                 known = [g for k, part in enumerate(parts) for g in self.gains(around[k][-1], part, around[k + 2][0], mappings, kind)]
+            if not known:
+                known = [(g, m) for g, m, _, _ in self.isolated(before, run, after, mappings)]
             if len(self._memo) >= MEMO_ENTRIES:
                 self._memo.clear()
             self._memo[key] = known
         return known
 
+    def _tried(self, before: str, run: str, after: str, mappings: dict[str, list[str]]) -> list[tuple[float, tuple[str, str]]]:
+        backs = inverses(run, mappings)
+        if ORDINARY.issuperset(run) and not (before + after).isalpha():
+            backs = {m: back for m, back in backs.items() if m[1] == "utf-8"}
+        if not backs:
+            return []
+        texts = list(dict.fromkeys(backs.values()))
+        (own, *sums), bonus = self.statistics.log_probabilities([before + run + after, *(before + back + after for back in texts)])
+        gain = {back: x - own for back, x in zip(texts, sums)}
+        # Pairs of characters that UTF-8 makes of one are frequent only because texts were garbled.
+        weighed = [(gain[back] + (bonus if m[1] == "utf-8" else 0.0), m) for m, back in backs.items()]
+        return [(g, m) for g, m in weighed if g > 0]
+
+    def isolated(self, before: str, run: str, after: str, mappings: dict[str, list[str]]) -> list[tuple[float, tuple[str, str], int, int]]:
+        """``(gain, mapping, begin, end)`` of the stretches within a run that gain where the run as a whole does not.
+
+        Only for UTF-8 read as a double-byte encoding, whose byte patterns tell how far a stretch goes; it must meet a
+        maximum-scoring segment of ``threshold - score`` over the pairs of the run and its borders, the threshold being
+        the run's mean score if that is lower. In single bytes, patterns of UTF-8 form by chance within other encodings.
+        """
+        if len(run) < 3:
+            return []
+        stretches = [(w, a, b) for w in DOUBLE if "utf-8" in mappings.get(w, ()) for a, b in utf8_stretches(run, w) if b - a < len(run)]
+        if not stretches:
+            return []
+        scores = self.statistics.scores(_codes(before + run + after))
+        segments = maximal_segments((min(THRESHOLD, float(scores.mean())) - scores).tolist())
+        out = []
+        for wrong, a, b in stretches:
+            if any(a < j and b >= i for i, j in segments):
+                # Sound characters at either end may fit the pattern by chance.
+                ends = [(i, j) for i in (a, a + 1) for j in (b - 1, b) if j - i >= 2]
+                tried = [(*g, i, j) for i, j in ends for g in self._tried(run[i - 1 : i] or before, run[i:j], run[j : j + 1] or after, {wrong: ["utf-8"]})]
+                out += [max(tried)] if tried else []
+        return out
+
     def _weigh(self, text: str, runs: list[list[int]], mappings: dict[str, list[str]], kind: str) -> tuple[Counter, Counter]:
         """Best gain and sum of gains beyond the toll, by mapping."""
         best, total = Counter(), Counter()
@@ -320,7 +360,15 @@ class Repairer:
 
     def undo(self, text: str, mapping: tuple[str, str]) -> str:
         """``text`` with the segments restored that gain by ``mapping`` as a whole."""
-        spans = [m.span() for m in _PATTERNS[mapping].finditer(text)]
+        spans = []
+        for a, b in (m.span() for m in _PATTERNS[mapping].finditer(text)):
+            parts = []
+            if inverse(text[a:b], *mapping) is None:
+                found = self.isolated(text[a - 1 : a] or "\n", text[a:b], text[b : b + 1] or "\n", {mapping[0]: [mapping[1]]})
+                for _, _, i, j in sorted(found, key=lambda f: f[2]):
+                    if not parts or a + i >= parts[-1][1]:
+                        parts.append((a + i, a + j))
+            spans += parts or [(a, b)]
         backs, scores = [], []
         for a, b in spans:
             back = inverse(text[a:b], *mapping)
