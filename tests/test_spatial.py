@@ -70,8 +70,28 @@ def test_quadtree_tiles_and_salts(spark, monkeypatch):
     monkeypatch.setattr(spatial, "BUNDLE_ROWS", 50)
     points, sites, regions = data(2)
     points += [(1, 5000 + i, 2.0, 2.0, ["a"], "k") for i in range(120)]  # one position, which no cut can split
-    sites += [(1, 6000, 2.1, 2.0, "a", "t")]
+    sites += [(1, 6000 + i, 2.1, 2.0, "a", "t") for i in range(90)]
+    check(spark, points + points[-40:], sites + sites[-30:], regions)
+
+
+def test_tiles_keep_their_size_when_the_sample_is_small(spark, monkeypatch):
+    """With a sample far too small for the rows, leaves and boxes of spaces are cut into cells."""
+    monkeypatch.setattr(spatial, "TILE_ROWS", 30)
+    monkeypatch.setattr(spatial, "BUNDLE_ROWS", 50)
+    points, sites, regions = data(7)
     check(spark, points, sites, regions)
+    most = []
+    real = spatial._salted
+
+    def watched(lines):
+        most.append(lines.groupBy("space", "tile").count().agg({"count": "max"}).first()[0])
+        return real(lines)
+
+    monkeypatch.setattr(spatial, "_salted", watched)
+    for sample in (1, 60, 50_000):
+        monkeypatch.setattr(spatial, "SAMPLE_ROWS", sample)
+        check(spark, points, sites, regions)
+    assert max(most) <= 200 and len(points) + len(sites) > 450
 
 
 def test_empty(spark):
@@ -83,10 +103,14 @@ def test_empty(spark):
 def test_tiles_cover_the_plane():
     rng = np.random.default_rng(4)
     x, y = rng.random(500), rng.random(500)
-    tree = number_leaves(build_quadtree(x, y, 20), 40)
-    far = np.array([[-9.0, 5.0, -9.0, 5.0], [0.5, 0.5, 0.5, 0.5]])
-    rows, _ = tiles_of_boxes(tree, far, np.zeros(2, np.int64))
-    assert sorted(rows) == [0, 1]
+    for rows_a_sample in (1, 10_000):
+        tree = number_leaves(build_quadtree(x, y, 20), rows_a_sample)
+        far = np.array([[-9.0, 5.0, -9.0, 5.0], [0.5, 0.5, 0.5, 0.5]])
+        rows, _ = tiles_of_boxes(tree, far)
+        assert sorted(rows) == [0, 1]
+        box = np.array([[0.2, 0.3, 0.7, 0.9]])
+        inside = np.array([[u, v, u, v] for u, v in rng.random((300, 2)) * [0.5, 0.6] + [0.2, 0.3]])
+        assert set(tiles_of_boxes(tree, inside)[1]) <= set(tiles_of_boxes(tree, box)[1])
 
 
 def test_rtree_probe():

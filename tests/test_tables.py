@@ -7,13 +7,13 @@ from voltmill.tables import finite, known, layer_key, layer_keys, micros, once_p
 
 
 def test_one_row_per_key(spark, tmp_path, monkeypatch):
-    rows = [(i % 7 if i % 5 else None, f"v{i % 7}", [i % 7]) for i in range(40)]
+    rows = [(i % 7 if i % 5 else None, f"v{i % 7}", [i % 7]) for i in range(40)] + [(k, f"v{k}", None) for k in range(100, 130)]
     spark.createDataFrame(rows, "k long, v string, __n array<int>").repartition(3).write.parquet(str(tmp_path / "t"))
     table = spark.read.parquet(str(tmp_path / "t"))
-    for most in (500_000, 0):
-        monkeypatch.setattr(tables, "MOST_REPEATED", most)
+    for bits in (1 << 26, 32_768, 8):  # with few bits, keys that occur once share those of repeated ones
+        monkeypatch.setattr(tables, "SKETCH_BITS", bits)
         got = once_per_key(table, "k", "v").collect()
-        assert sorted(r.k for r in got if r.k is not None) == list(range(7))
+        assert sorted(r.k for r in got if r.k is not None) == [*range(7), *range(100, 130)]
         assert sum(r.k is None for r in got) == 8
         assert all(r.v == f"v{r.k}" for r in got if r.k is not None)
 

@@ -7,7 +7,8 @@ reported when it lies beyond the end of all of them.
 Scale. The axis is cut into slices, and all sorting happens per (key, slice), so a key that holds a third of all rows
 is spread over its slices. What earlier slices leave open is carried as one number per (key, slice). A (key, slice)
 that still holds more than ``hot_rows`` references is salted: its references are spread over salts, its few runs are
-copied to each. The list of salted groups has at most ``N / hot_rows <= 1000`` rows, which is why it may be broadcast.
+copied to each. The list of salted groups is a written table: joins with it are broadcasts while it is below Spark's
+threshold and shuffle beyond.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import Stage
+
 #: Ninety days in microseconds.
 SLICE = 90 * 86_400_000_000
 _FOREVER = 2**63 - 1
@@ -58,13 +61,11 @@ def orphans(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, start
     by = [*keys, "__slice"]
     parts = runs.groupBy(*by).agg(F.max("run_end").alias("__end"), F.lit(0).cast("long").alias("__n"))
     parts = parts.unionByName(tied.groupBy(*by).agg(F.lit(None).cast("long").alias("__end"), F.count("*").alias("__n")))
-    parts = parts.groupBy(*by).agg(F.max("__end").alias("__end"), F.sum("__n").alias("__n"))
+    parts = Stage(parts.groupBy(*by).agg(F.max("__end").alias("__end"), F.sum("__n").alias("__n")), "slices").df
     earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(*by, F.max("__end").over(earlier).alias("__end"))
 
-    limit = max(hot_rows, refs.count() // 1000)
-    hot = parts.filter(F.col("__n") > limit).select(*by, F.expr(f"cast(ceil(__n / {limit}) as int)").alias("__salts"))
-    hot = F.broadcast(hot)  # at most N / limit <= 1000 rows
+    hot = Stage(parts.filter(F.col("__n") > hot_rows).select(*by, F.expr(f"cast(ceil(__n / {hot_rows}) as int)").alias("__salts")), "hot").df
 
     facts = runs.select(*by, F.col("run_start").alias("__t"), F.col("run_end").alias("__end"))
     facts = facts.unionByName(carried.filter("__end is not null").withColumn("__t", F.lit(-(2**63)).cast("long")))

@@ -1,14 +1,19 @@
 """Points near other points, and regions that contain points.
 
-1. A bounded sample of all positions (at most ``SAMPLE_ROWS``) gives a quadtree for every space (a board) that holds
-   more than one tile's worth of rows; all other spaces are one tile. The tree has at most ``SAMPLE_ROWS`` leaves and
-   covers the whole plane, so every row finds its tile whatever the sample missed. A tile the tree cannot split (equal
-   positions) is salted: its points are spread, its boxes copied to each salt.
-2. A point goes to the one tile that holds it. The box of a region (or of a point, grown by the distance) is
+1. Rows are counted per space (a board). A bounded sample of all positions (at most ``2 * SAMPLE_ROWS``) gives a
+   quadtree for every space that has more than one tile's worth of rows and enough of the sample. The tree covers the
+   whole plane, so every row finds its tile whatever the sample missed. As the sample is bounded, so are the trees; a
+   leaf that stands for more rows than a tile should hold is cut into equal cells, as many as its rows ask for, and so
+   is the box of a large space with too small a part of the sample. Tiles therefore keep their size at any scale.
+2. Rows are counted per tile. A tile that still holds too many (equal positions, which no cut separates) is salted:
+   its points are spread over rows and its boxes over columns of a table of salts, and each is copied to the others'
+   places, so that every point meets every box once.
+3. A point goes to the one tile that holds it. The box of a region (or of a point, grown by the distance) is
    replicated to all tiles it touches.
-3. Tiles are bundled by hash. Each bundle bulk-loads a sort-tile-recursive R-tree over its boxes, probes it with its
-   points level by level, and refines candidates exactly.
-4. The point of a pair is its reference point: as it lies in one tile only, each pair is found once although boxes
+4. Tiles are bundled by hash, and tasks hold an equal share of bundles, their number following that of the rows. Each
+   bundle bulk-loads a sort-tile-recursive R-tree over its boxes, probes it with its points level by level, and refines
+   candidates exactly.
+5. The point of a pair is its reference point: as it lies in one tile only, each pair is found once although boxes
    are replicated, and no pass over the result is needed.
 """
 
@@ -19,14 +24,18 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Upper bound of the rows fetched to shape the quadtree.
+from ..staging import Stage
+
+#: Rows fetched to shape the quadtree, on average; at most twice as many.
 SAMPLE_ROWS = 50_000
-#: Rows one tile should hold, and rows one bundle of tiles should hold.
+#: Rows one tile, one bundle of tiles and one task should hold, and the most tasks.
 TILE_ROWS = 10_000
 BUNDLE_ROWS = 20_000
+TASK_ROWS = 60_000
+MOST_TASKS = 100_000
 MAX_DEPTH = 16
 FANOUT = 16
 _MIN_SAMPLE = 24
@@ -36,16 +45,25 @@ _MIN_SAMPLE = 24
 
 
 def build_quadtree(x: np.ndarray, y: np.ndarray, most: float, depth: int = 0) -> dict:
-    """A node ``{"cut": (cx, cy), "kids": [sw, se, nw, ne]}`` or a leaf ``{"n": rows}`` over sampled positions."""
-    if len(x) <= most or depth >= MAX_DEPTH or (x.min() == x.max() and y.min() == y.max()):
-        return {"n": len(x)}
+    """A node ``{"cut": (cx, cy), "kids": [sw, se, nw, ne]}`` or a leaf ``{"n": rows, "box": (x, y, width, height)}``
+    over sampled positions."""
+    if not len(x):
+        return {"n": 0, "box": (0.0, 0.0, 0.0, 0.0)}
+    box = (float(x.min()), float(y.min()), float(np.ptp(x)), float(np.ptp(y)))
+    if len(x) <= most or depth >= MAX_DEPTH or not (box[2] or box[3]):
+        return {"n": len(x), "box": box}
     cx, cy = (x.min() + x.max()) / 2, (y.min() + y.max()) / 2
     where = (x >= cx).astype(int) + 2 * (y >= cy)
-    return {"cut": (cx, cy), "kids": [build_quadtree(x[where == q], y[where == q], most, depth + 1) if (where == q).any() else {"n": 0} for q in range(4)]}
+    return {"cut": (cx, cy), "kids": [build_quadtree(x[where == q], y[where == q], most, depth + 1) for q in range(4)]}
+
+
+def cells_a_side(rows: float) -> int:
+    """Cells along each side of a box with that many rows, a power of two."""
+    return 1 if rows <= 2 * TILE_ROWS else 1 << math.ceil(math.log(rows / TILE_ROWS, 4))
 
 
-def number_leaves(tree: dict, most: float) -> dict:
-    """Give every leaf its first tile number and its count of salts; leaves denser than ``most`` get several."""
+def number_leaves(tree: dict, rows_a_sample: float) -> dict:
+    """Give every leaf its number of cells a side and the number of its first tile."""
     state = [0]
 
     def walk(node: dict) -> None:
@@ -53,28 +71,38 @@ def number_leaves(tree: dict, most: float) -> dict:
             for kid in node["kids"]:
                 walk(kid)
         else:
-            node["tile"], node["salts"] = state[0], max(1, math.ceil(node["n"] / most)) if most else 1
-            state[0] += node["salts"]
+            node["tile"], node["cells"] = state[0], cells_a_side(node["n"] * rows_a_sample)
+            state[0] += node["cells"] ** 2
 
     walk(tree)
     return tree
 
 
-def tiles_of_boxes(tree: dict, box: np.ndarray, salt: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, tile) of all leaves the boxes ``[xmin, ymin, xmax, ymax]`` touch. With ``salt``, rows are points and
-    take one salt of their leaf; without, they take all."""
+def _cell_numbers(values: np.ndarray, start: float, width: float, cells: int) -> np.ndarray:
+    """The cells of a side that hold ``values``; what is beyond either end belongs to the outermost cell."""
+    if not width:
+        return np.zeros(len(values), np.int64)
+    return np.clip(np.floor((values - start) / (width / cells)), 0, cells - 1).astype(np.int64)
+
+
+def tiles_of_boxes(tree: dict, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, tile) of all tiles the boxes ``[xmin, ymin, xmax, ymax]`` touch."""
     rows, tiles = [], []
 
     def walk(node: dict, at: np.ndarray) -> None:
         if not len(at):
             return
         if "cut" not in node:
-            if salt is not None:
-                rows.append(at)
-                tiles.append(node["tile"] + salt[at] % node["salts"])
-            else:
-                rows.append(np.repeat(at, node["salts"]))
-                tiles.append(np.tile(np.arange(node["tile"], node["tile"] + node["salts"]), len(at)))
+            x, y, w, h = node["box"]
+            n = node["cells"]
+            i0, i1 = (_cell_numbers(box[at, k], x, w, n) for k in (0, 2))
+            j0, j1 = (_cell_numbers(box[at, k], y, h, n) for k in (1, 3))
+            wide = i1 - i0 + 1
+            count = wide * (j1 - j0 + 1)
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            row = np.repeat(np.arange(len(at)), count)
+            rows.append(at[row])
+            tiles.append(node["tile"] + (j0[row] + place // wide[row]) * n + i0[row] + place % wide[row])
             return
         cx, cy = node["cut"]
         west, east = box[at, 0] < cx, box[at, 2] >= cx
@@ -187,43 +215,63 @@ def _sample_trees(positions: DataFrame, rows: int) -> dict[int, dict]:
     trees = {}
     for space, part in pdf.groupby("space"):
         if len(part) > most:
-            trees[int(space)] = number_leaves(build_quadtree(part["x"].to_numpy(), part["y"].to_numpy(), most), 2 * most)
+            trees[int(space)] = number_leaves(build_quadtree(part["x"].to_numpy(), part["y"].to_numpy(), most), 1 / share)
     return trees
 
 
-def _with_tiles(df: DataFrame, trees: dict[int, dict], points: bool) -> DataFrame:
+def _grids(spaces: DataFrame) -> DataFrame:
+    """``(space, gx, gy, gw, gh, cells)``: spaces with more rows than a tile should hold, and the size of their cells."""
+    large = spaces.filter(F.col("n") > 2 * TILE_ROWS).withColumn("cells", F.expr(f"shiftleft(1L, cast(ceil(log2(n / {TILE_ROWS}) / 2) as int))"))
+    width = lambda a: F.nullif((F.col(f"{a}1") - F.col(f"{a}0")) / F.col("cells"), F.lit(0.0))
+    return Stage(large.select("space", F.col("x0").alias("gx"), F.col("y0").alias("gy"), width("x").alias("gw"), width("y").alias("gh"), "cells"), "grids").df
+
+
+def _with_tiles(df: DataFrame, trees: dict[int, dict], grids: DataFrame) -> DataFrame:
     """Add ``tile``; a row appears once for each tile its box touches."""
-    if not trees:
-        return df.withColumn("tile", F.lit(0).cast("long"))
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("array<bigint>")
-    def tiles(space, x0, y0, x1, y1, salt):  # noqa: ANN001
+    def tiles(space, x0, y0, x1, y1):  # noqa: ANN001
         import pandas as pd
 
         out = np.empty(len(space), object)
-        one = np.zeros(1, np.int64)
-        for i in range(len(space)):
-            out[i] = one
         box = np.column_stack([x0, y0, x1, y1])
         spaces, codes = np.unique(space.to_numpy(), return_inverse=True)
         for code, s in enumerate(spaces):
-            tree = shared.value.get(int(s))
-            if tree is not None:
-                at = np.flatnonzero(codes == code)
-                r, t = tiles_of_boxes(tree, box[at], salt.to_numpy()[at] if points else None)
-                order = np.argsort(r, kind="stable")
-                r, t = r[order], t[order]
-                for row, part in zip(at, np.split(t, np.searchsorted(r, np.arange(1, len(at))))):
-                    out[row] = part
+            at = np.flatnonzero(codes == code)
+            r, t = tiles_of_boxes(shared.value[int(s)], box[at])
+            order = np.argsort(r, kind="stable")
+            r, t = r[order], t[order]
+            for row, part in zip(at, np.split(t, np.searchsorted(r, np.arange(1, len(at))))):
+                out[row] = part
         return pd.Series(out)
 
-    heavy = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in trees], "space long"))  # at most SAMPLE_ROWS / 24 rows
-    split = df.join(heavy, "space", "left_semi")
-    salt = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) if points else F.lit(0).cast("long")
-    split = split.withColumn("tile", F.explode(tiles("space", "x0", "y0", "x1", "y1", salt)))
-    whole = df.join(heavy, "space", "left_anti").withColumn("tile", F.lit(0).cast("long"))
-    return whole.unionByName(split)
+    def cell(value: str, start: str, size: str) -> Column:
+        number = F.floor((F.col(value) - F.col(start)) / F.col(size)).cast("double")
+        return F.coalesce(F.greatest(F.lit(0.0), F.least(number, F.col("cells") - 1.0)), F.lit(0.0)).cast("long")
+
+    cells = lambda a: F.explode(F.sequence(cell(f"{a}0", f"g{a}", "gw" if a == "x" else "gh"), cell(f"{a}1", f"g{a}", "gw" if a == "x" else "gh")))
+    # At most SAMPLE_ROWS / 12 spaces have a tree.
+    heavy = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in trees], "space long"))
+    rest = df.join(heavy, "space", "left_anti").join(grids, "space", "left").withColumn("_i", cells("x")).withColumn("_j", cells("y"))
+    rest = rest.withColumn("tile", F.col("_j") * F.coalesce("cells", F.lit(1)) + F.col("_i")).select(*df.columns, "tile")
+    if not trees:
+        return rest
+    return rest.unionByName(df.join(heavy, "space", "left_semi").withColumn("tile", F.explode(tiles("space", "x0", "y0", "x1", "y1"))))
+
+
+def _salted(lines: DataFrame) -> DataFrame:
+    """Add ``salt``; points and boxes of tiles that hold too many are copied to the places where they meet."""
+    of = lambda is_point: F.count_if((F.col("kind") == 0) == F.lit(is_point))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / TILE_ROWS)).cast("long").alias(f"_{n}")
+    counts = lines.groupBy("space", "tile").agg(of(True).alias("points"), of(False).alias("boxes"))
+    hot = Stage(counts.filter(F.greatest("points", "boxes") > 2 * TILE_ROWS).select("space", "tile", parts("points"), parts("boxes")), "hot").df
+    many = lines.join(hot, ["space", "tile"], "left")
+    rows, columns = F.coalesce("_points", F.lit(1)), F.coalesce("_boxes", F.lit(1))
+    own = lambda n: F.pmod(F.xxhash64("id"), n)
+    all_of = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    salts = F.when(F.col("kind") == 0, F.transform(all_of(columns), lambda c: own(rows) * columns + c)).otherwise(F.transform(all_of(rows), lambda r: r * columns + own(columns)))
+    return many.withColumn("salt", F.explode(salts)).drop("_points", "_boxes")
 
 
 def near_or_inside(points: DataFrame, sites: DataFrame, regions: DataFrame, distance: float) -> DataFrame:
@@ -251,21 +299,25 @@ def near_or_inside(points: DataFrame, sites: DataFrame, regions: DataFrame, dist
 
     everywhere = points.select("space", "x", "y").unionByName(sites.select("space", "x", "y"))
     everywhere = everywhere.unionByName(regions.select("space", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")))
-    rows = everywhere.count()
-    trees = _sample_trees(everywhere, rows)
-    bundles = max(1, math.ceil(rows / BUNDLE_ROWS), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) if rows > BUNDLE_ROWS else 1)
+    box = [f(c).alias(f"{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))]
+    spaces = Stage(everywhere.groupBy("space").agg(F.count("*").alias("n"), *box), "spaces", {"rows": F.sum("n")})
+    rows = spaces.seen["rows"] or 0
+    trees, grids = _sample_trees(everywhere, rows), _grids(spaces.df)
+    spaces.drop()
+    bundles = max(1, math.ceil(rows / BUNDLE_ROWS))
+    tasks = max(1, min(math.ceil(rows / TASK_ROWS), MOST_TASKS))
 
     p = points.select("space", "id", *[F.col(c).alias(a) for c, a in (("x", "x0"), ("y", "y0"), ("x", "x1"), ("y", "y1"))], F.lit(0).alias("kind"), "tags")
     s = sites.select("space", "id", (F.col("x") - d).alias("x0"), (F.col("y") - d).alias("y0"), (F.col("x") + d).alias("x1"), (F.col("y") + d).alias("y1"), F.lit(1).alias("kind"), F.array("tag").alias("tags"), F.array("x").alias("vx"), F.array("y").alias("vy"))
     r = regions.withColumn("kind", F.lit(2)).withColumn("tags", F.array("tag")).drop("tag")
-    lines = _with_tiles(p, trees, True)
-    lines = lines.unionByName(_with_tiles(s, trees, False), allowMissingColumns=True).unionByName(_with_tiles(r, trees, False), allowMissingColumns=True)
-    lines = lines.withColumn("bundle", F.pmod(F.xxhash64("space", "tile"), F.lit(bundles)).cast("int"))
+    lines = _with_tiles(p, trees, grids)
+    lines = lines.unionByName(_with_tiles(s, trees, grids), allowMissingColumns=True).unionByName(_with_tiles(r, trees, grids), allowMissingColumns=True)
+    lines = _salted(lines).withColumn("bundle", F.pmod(F.xxhash64("space", "tile", "salt"), F.lit(bundles)).cast("int"))
 
     def match(batch: pa.Table) -> pa.Table:
         return match_bundle(batch, distance)
 
-    return lines.groupBy("bundle").applyInArrow(match, "kind string, point_id long, other_id long")
+    return lines.repartition(tasks, "bundle").groupBy("bundle").applyInArrow(match, "kind string, point_id long, other_id long")
 
 
 def _usable(*names: str):  # noqa: ANN202
@@ -290,7 +342,7 @@ def match_bundle(batch: pa.Table, distance: float) -> pa.Table:
         return batch.column(name).to_numpy()
 
     kind, ids = column("kind"), column("id")
-    _, tile = np.unique(np.rec.fromarrays([column("space"), column("tile")]), return_inverse=True)
+    _, tile = np.unique(np.rec.fromarrays([column("space"), column("tile"), column("salt")]), return_inverse=True)
     box = np.column_stack([column(c) for c in ("x0", "y0", "x1", "y1")]).astype(float)
     # Repeated rows of an id: the first one in the bundle's tile counts.
     _, first = np.unique(np.rec.fromarrays([kind, ids, tile]), return_index=True)

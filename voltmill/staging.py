@@ -1,8 +1,9 @@
 """Intermediate tables in the folder all executors share.
 
 Iterative operators cut their lineage by writing a parquet table and reading it back. The folder comes from the
-session's ``spark.checkpoint.dir``; only where that is unset (a local session in a test) a temporary one is used.
-A written table survives the loss of any executor, and a superseded one can be deleted at once.
+session's ``spark.checkpoint.dir``; only where that is unset and the master is local (as in a test) a temporary one is
+used, on a cluster its absence is an error. A written table survives the loss of any executor. A superseded one can be
+deleted at once, all others are deleted when the driver ends.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -21,25 +22,43 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir() or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="voltmill-"))
     return base.rstrip("/")
 
 
 class Stage:
-    """One intermediate table: written on construction, read through ``df``."""
+    """One intermediate table: written on construction, read through ``df``.
 
-    def __init__(self, df: DataFrame, name: str = "stage"):
+    ``watched`` are aggregates by name; their values over all rows are in ``seen``, taken while the table is written.
+    As the size of the files is known, a join with ``df`` is planned as a broadcast below Spark's threshold only.
+    """
+
+    def __init__(self, df: DataFrame, name: str = "stage", watched: dict[str, Column] | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/voltmill/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        self.seen: dict[str, object] = {}
+        self._files().deleteOnExit(self._place())
+        if watched:
+            observation = Observation()
+            df.observe(observation, *[c.alias(n) for n, c in watched.items()]).write.parquet(self.path)
+            self.seen = observation.get
+        else:
+            df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def _place(self):  # noqa: ANN202
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+
+    def _files(self):  # noqa: ANN202
+        return self._place().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self) -> None:
         """Delete the files; the caller knows that nothing reads them any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._files().delete(self._place(), True)
+        self._files().cancelDeleteOnExit(self._place())
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:

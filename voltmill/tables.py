@@ -40,23 +40,32 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-#: Repeated keys that may be broadcast; beyond, rows are shuffled by key.
-MOST_REPEATED = 500_000
+#: Bits of the sketch of repeated keys, 2**26: a broadcast of 8 MB at most.
+SKETCH_BITS = 1 << 26
 
 
 def once_per_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """One row per ``key`` of a table read from files, with ``columns``; rows of a null key all stay.
+    """One row per ``key`` of a table read from files, with ``columns``: the first one in the files. Rows of a null key
+    all stay.
 
-    Only the keys are shuffled. The keys that occur repeatedly, with the place of their first row in the files, are
-    broadcast if they are few, so wide rows stay where they are; if they are many, rows are shuffled by key.
+    Keys are shuffled once to find those that occur repeatedly, and the place of their first row. A bit sketch of fixed
+    size holds the repeated keys: a row whose bit is not set is the only one of its key and stays where it is, however
+    wide. Only the others, the repeated ones and a few that share a bit, are joined with the places by key.
     """
     from .staging import Stage
 
     place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    named = rows.select(key, *[c for c in columns if c != key], place.alias("__place"))
-    repeated = Stage(named.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"), F.min("__place").alias("__first")).filter("__n > 1").select(F.col(key).alias("__key"), "__first"), "repeated").df
-    if repeated.count() > MOST_REPEATED:
-        plain = named.drop("__place")
-        return plain.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(plain.filter(F.col(key).isNull()))
-    met = named.join(F.broadcast(repeated), F.col(key) == F.col("__key"), "left")
-    return met.filter("__first is null or __first = __place").drop("__place", "__key", "__first")
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(SKETCH_BITS)) + 1
+    plain = [key, *[c for c in columns if c != key]]
+    named = rows.select(*plain, place.alias("__place"), F.bitmap_bucket_number(bit).alias("__bucket"), F.bitmap_bit_position(bit).alias("__at"))
+    places = named.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+    repeated = Stage(places.filter("__n > 1").select(F.col(key).alias("__key"), "__first"), "repeated").df
+    set_bits = repeated.select((F.pmod(F.xxhash64("__key"), F.lit(SKETCH_BITS)) + 1).alias("__bit"))
+    sketch = set_bits.groupBy(F.bitmap_bucket_number("__bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__bits"))
+    sketch = F.broadcast(sketch.coalesce(1))  # at most SKETCH_BITS / 8 bytes
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    doubtful = F.coalesce(F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1") == 1, F.lit(False)) & F.col(key).isNotNull()
+    tested = named.join(sketch, "__bucket", "left").withColumn("__byte", byte).withColumn("__doubtful", doubtful)
+    met = tested.filter("__doubtful").select(*plain, "__place").join(repeated, F.col(key) == F.col("__key"), "left")
+    first = met.filter("__first is null or __first = __place").select(*plain)
+    return tested.filter("not __doubtful").select(*plain).unionByName(first)
