@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.orphans import orphans
 from ..operators.shred import ANALYSIS, parse, shred
 from ..operators.spatial import near_or_inside
-from ..tables import known, layer_key, layer_keys, micros, table
+from ..tables import known, layer_key, layer_keys, micros, once_per_key, table
 
 #: Largest distance of a pad from a via in millimetres.
 PAD_REACH = 0.25
@@ -17,8 +17,7 @@ MIL = 0.0254
 
 def solution_tables(spark: SparkSession, folder: str, want: set[str] | None = None) -> dict[str, DataFrame]:
     """The flat tables of the analysis responses. A failed analysis has its own row and no layers."""
-    rows = table(spark, folder, "solutions").select("solution_id", "payload")
-    once = rows.filter("solution_id is not null").dropDuplicates(["solution_id"]).unionByName(rows.filter("solution_id is null"))
+    once = once_per_key(table(spark, folder, "solutions"), "solution_id", "payload")
     parsed = once.select("solution_id", parse("payload", "result", "layer_solutions").alias("response"))
     failed = F.coalesce(~F.try_variant_get("response", "$.success", "boolean"), F.lit(False))
     kept = parsed if want == {"analysis"} else parsed.filter(~failed)

@@ -44,6 +44,25 @@ def micros(ts: Column | str) -> Column:
 SKETCH_BITS = 1 << 26
 
 
+def sketch_bit(*columns: str) -> Column:
+    """The bit, from 1, that stands for some values in a sketch."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SKETCH_BITS)) + 1
+
+
+def bit_sketch(bits: DataFrame, bit: str) -> DataFrame:
+    """The set bits of a column ``bit`` as ``(bucket, bits)``, at most SKETCH_BITS / 8 bytes: for a broadcast."""
+    words = bits.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    return words.coalesce(1)
+
+
+def with_bit(rows: DataFrame, sketch: DataFrame, bit: Column, name: str) -> DataFrame:
+    """Adds the boolean ``name``: whether ``bit`` is set in a sketch. False where the bit is null."""
+    placed = rows.withColumn("__bucket", F.bitmap_bucket_number(bit)).withColumn("__at", F.bitmap_bit_position(bit))
+    met = placed.join(F.broadcast(sketch.toDF("__bucket", "__bits")), "__bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.select(*rows.columns, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0, F.lit(False)).alias(name))
+
+
 def once_per_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """One row per ``key`` of a table read from files, with ``columns``: the first one in the files. Rows of a null key
     all stay.
@@ -55,17 +74,11 @@ def once_per_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     from .staging import Stage
 
     place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(SKETCH_BITS)) + 1
     plain = [key, *[c for c in columns if c != key]]
-    named = rows.select(*plain, place.alias("__place"), F.bitmap_bucket_number(bit).alias("__bucket"), F.bitmap_bit_position(bit).alias("__at"))
+    named = rows.select(*plain, place.alias("__place"))
     places = named.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
     repeated = Stage(places.filter("__n > 1").select(F.col(key).alias("__key"), "__first"), "repeated").df
-    set_bits = repeated.select((F.pmod(F.xxhash64("__key"), F.lit(SKETCH_BITS)) + 1).alias("__bit"))
-    sketch = set_bits.groupBy(F.bitmap_bucket_number("__bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__bits"))
-    sketch = F.broadcast(sketch.coalesce(1))  # at most SKETCH_BITS / 8 bytes
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    doubtful = F.coalesce(F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1") == 1, F.lit(False)) & F.col(key).isNotNull()
-    tested = named.join(sketch, "__bucket", "left").withColumn("__byte", byte).withColumn("__doubtful", doubtful)
+    tested = with_bit(named, bit_sketch(repeated.select(sketch_bit("__key").alias("__bit")), "__bit"), F.when(F.col(key).isNotNull(), sketch_bit(key)), "__doubtful")
     met = tested.filter("__doubtful").select(*plain, "__place").join(repeated, F.col(key) == F.col("__key"), "left")
     first = met.filter("__first is null or __first = __place").select(*plain)
     return tested.filter("not __doubtful").select(*plain).unionByName(first)
