@@ -1,6 +1,9 @@
 import random
 
-from voltmill.llm.components import component_ids, star_edges
+from pyspark.sql import functions as F
+
+from voltmill.llm.components import _least_parent, component_ids, large_star, small_star, star_edges
+from voltmill.staging import staged
 
 
 def union_find(pairs):
@@ -56,3 +59,24 @@ def test_star_edges_link_what_all_pairs_would(spark):
     edges = [(r.a, r.b) for r in star_edges(frame, ["g"], "shape", "label", "net").collect()]
     assert union_find(edges) == union_find(expected)
     assert len(edges) <= len(members)
+
+
+def test_hubs_are_split(spark):
+    """The final plans of both steps have skew joins for a hub on either side."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20kb", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20kb", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rest = spark.range(1_000_000, 1_000_400).select((F.col("id") + 1000).alias("child"), F.col("id").alias("parent"))
+        hub = spark.range(10, 60_000, numPartitions=4).select(F.col("id").alias("child"), F.lit(5).cast("long").alias("parent"))
+        fan = spark.range(10, 60_000, numPartitions=4).select(F.lit(900_000).cast("long").alias("child"), F.col("id").alias("parent"))
+        for step, edges in ((large_star, hub.unionByName(spark.sql("select 5L child, 1L parent"))), (small_star, fan)):
+            edges = staged(edges.unionByName(rest), "edges")
+            done = step(edges, staged(_least_parent(edges), "least"))
+            done.write.format("noop").mode("overwrite").save()
+            done.collect()
+            assert "skew=true" in done._jdf.queryExecution().executedPlan().toString(), step.__name__
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

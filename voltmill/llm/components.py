@@ -5,10 +5,11 @@ than a node to the least node of its neighbourhood; a small-star step does the s
 node itself. Steps alternate until neither changes an edge; every record is then linked to the minimum of its
 component. Each step is two joins on the minimum per node, which is pre-aggregated before it is shuffled.
 
-Scale. No neighbourhood is ever collected. A node that holds a third of all edges appears as one row of the
-pre-aggregated side of the join and as many rows of the other side, which the session splits by adaptive skew joins
-(both joins are inner or left outer on that side). Steps are written to the shared folder, so lineage stays short and
-a lost executor costs one step at most. Superseded steps are deleted.
+Scale. No neighbourhood is ever collected. The minima are a written table of one row per node, and so are the edges:
+both sides of each join are plain reads, which adaptive skew joins can split, so a node that holds a third of all edges
+is one row on one side and is spread over many tasks on the other. (An aggregate right before a join could not be
+split.) All steps are written to the shared folder, so lineage stays short and a lost executor costs one step at most.
+Superseded steps are deleted.
 """
 
 from __future__ import annotations
@@ -29,16 +30,14 @@ def _least_parent(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("least"))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Point each child to the least parent of its parent; ``moved`` tells whether that is another node."""
-    least = _least_parent(edges)
     met = edges.join(least, edges.parent == least.node, "left")
     return met.select("child", F.coalesce("least", "parent").alias("parent"), F.col("least").isNotNull().alias("moved"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Point each node and all its parents to the least of these parents."""
-    least = _least_parent(edges)
     met = edges.join(least, edges.child == least.node)
     moved = met.filter("parent <> least").select(F.col("parent").alias("child"), F.col("least").alias("parent"), F.lit(True).alias("moved"))
     kept = least.select(F.col("node").alias("child"), F.col("least").alias("parent"), F.lit(False).alias("moved"))
@@ -56,10 +55,13 @@ def component_ids(pairs: DataFrame, a: str, b: str, most_rounds: int = 200) -> D
     for _ in range(most_rounds):
         changed = False
         for step in (large_star, small_star):
-            after = Stage(step(stage.df.select("child", "parent")), step.__name__)
+            edges = stage.df.select("child", "parent")
+            least = Stage(_least_parent(edges), "least")
+            after = Stage(step(edges, least.df), step.__name__, {"moved": F.max("moved")})
             stage.drop()
+            least.drop()
             stage = after
-            changed |= bool(stage.df.agg(F.max("moved")).first()[0])
+            changed |= bool(stage.seen["moved"])
         if not changed:
             linked = stage.df.select("child", "parent")
             roots = linked.select(F.col("parent").alias("record"), F.col("parent").alias("component")).distinct()

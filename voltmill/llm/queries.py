@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from ..tables import known, once_per_key, table
 from .components import component_ids, star_edges
 from .encoding import count_tokens, encode_texts
@@ -15,7 +16,8 @@ from .percentiles import BITS, percentiles, value_counts
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of layer shapes that are joined by touching or by vias."""
-    shapes = table(spark, folder, "layer_shapes").select("shape_id", known("net_label").alias("label")).dropna(subset=["shape_id"]).dropDuplicates(["shape_id"])
+    # A written table, read on one side of three joins: a shape with very many links can be split.
+    shapes = staged(table(spark, folder, "layer_shapes").select("shape_id", known("net_label").alias("label")).dropna(subset=["shape_id"]).dropDuplicates(["shape_id"]), "shapes")
     links = table(spark, folder, "shape_links").select("shape_a", "shape_b").dropna().filter("shape_a <> shape_b").distinct()
     links = links.join(shapes.toDF("shape_a", "label_a"), "shape_a").join(shapes.toDF("shape_b", "label_b"), "shape_b")
     touching = links.filter("coalesce(label_a = label_b, true)").select(F.col("shape_a").alias("a"), F.col("shape_b").alias("b"))
@@ -33,11 +35,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 PERMILLE = {"p01": 10, "p05": 50, "p50": 500, "p95": 950, "p99": 990}
 
 
-def mesh_value_counts(spark: SparkSession, folder: str) -> DataFrame:
+def mesh_value_counts(spark: SparkSession, folder: str, combined: bool = True) -> DataFrame:
     """The partial result of problem 3: counts of rounded values per net, day and measure. Unknown nets are no net."""
     meshes = once_per_key(table(spark, folder, "mesh_outputs"), "mesh_id", "net", "solved_at", "potentials", "power_densities")
     meshes = meshes.select(known("net").alias("net"), F.date_format("solved_at", "yyyy-MM-dd").alias("day"), "potentials", "power_densities").filter("net is not null")
-    return value_counts(meshes, ["net", "day"], {"potential": "potentials", "power_density": "power_densities"})
+    return value_counts(meshes, ["net", "day"], {"potential": "potentials", "power_density": "power_densities"}, combined=combined)
 
 
 def p3_partials(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +49,8 @@ def p3_partials(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of potentials and power densities per net (period ``all``) and per net and day (period ``day``)."""
-    found = percentiles(mesh_value_counts(spark, folder), ["net", "measure"], PERMILLE, roll_up=["day"])
+    counts = staged(mesh_value_counts(spark, folder, combined=False), "counts")
+    found = percentiles(counts, ["net", "measure"], PERMILLE, roll_up=["day"])
     return found.select(F.when(F.col("level") == "each", "day").otherwise("all").alias("period"), "net", "day", "measure", "n", *PERMILLE)
 
 
