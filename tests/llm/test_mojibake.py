@@ -1,6 +1,8 @@
 import random
 
-from voltmill.llm.mojibake import find_garbled, inverse, maximal_segments
+import numpy as np
+
+from voltmill.llm.mojibake import SKETCH_BITS, UNICODE, PairStatistics, Repairer, _codes, _slots, find_garbled, inverse, maximal_segments
 
 CLEAN = {
     "de": "Die Kupferfläche zerfällt in Inseln, größer als nötig – Maß über 5 µm für Ströme. ",
@@ -68,6 +70,56 @@ def test_garbled_beside_sound_text(spark):
     assert [(r.doc_id, r.mappings, r.restored) for r in found] == [(2000, "gbk/utf-8", "See: " + sound + other + "偏高.")]
 
 
+def statistics_of(texts):
+    codes = _codes("\n" + "\n".join(texts) + "\n")
+    pairs, n = np.unique(codes[:-1] << 21 | codes[1:], return_counts=True)
+    base = 2 << SKETCH_BITS
+    cells = np.zeros(base + 2 * UNICODE, np.float32)
+    for at in (*_slots(pairs), base + (pairs >> 21), base + UNICODE + (pairs & (1 << 21) - 1)):
+        np.add.at(cells, at, n)
+    return PairStatistics(cells[:base], cells[base : base + UNICODE], cells[base + UNICODE :])
+
+
+def test_what_lies_outside_improbable_runs_stays():
+    """A sequence that the corpus has everywhere is no improbable run and is not undone beside one that is."""
+    own = "der Code Ã¤ gilt, "
+    repairer = Repairer(statistics_of([own * 5 + CLEAN["de"]] * 400))
+    text = own + CLEAN["de"].encode().decode("latin-1") + own
+    runs = (repairer.improbable(_codes("\n" + text + "\n")) - 1).tolist()
+    mappings, restored, _ = repairer.repair(text, runs)
+    assert mappings == "latin-1/utf-8" and restored == own + CLEAN["de"] + own
+
+
+def test_garbled_beside_sound_accents():
+    """UTF-8 read in single bytes with a sound accented letter right before it."""
+    repairer = Repairer(statistics_of([t for t in CLEAN.values() for _ in range(300)]))
+    text = "Maß über ä" + "größer".encode().decode("latin-1")[2:] + " für Ströme"
+    runs = (repairer.improbable(_codes("\n" + text + "\n")) - 1).tolist()
+    assert repairer.repair(text, runs)[1] == "Maß über äößer für Ströme"
+
+
+def test_segments_are_those_of_all_pairs():
+    """Segments and touched stretches against maximal_segments over each cluster of scored pairs."""
+    rnd = random.Random(3)
+    repairer = Repairer(statistics_of([t for t in CLEAN.values() for _ in range(20)]))
+    for _ in range(60):
+        text = "".join(rnd.choice("aü é漢字Ñ\nж ") for _ in range(rnd.randrange(0, 40)))
+        codes = _codes("\n" + text + "\n")
+        want, at = [], 0
+        while at < len(codes) - 1:
+            stop = at
+            while stop < len(codes) - 1 and (codes[stop] >= 128 or codes[stop + 1] >= 128) and (stop == at or codes[stop] != 10):
+                stop += 1
+            if stop > at:
+                scores = repairer.statistics.scores_at(codes, np.arange(at, stop))
+                want += [(at + a, at + b + 1) for a, b in maximal_segments((-16.0 - scores).tolist())]
+            at = max(stop, at + 1)
+        assert repairer.segments(codes, -16.0).tolist() == [list(w) for w in want]
+        touched = {i for a, b in want for i in range(a, b) if codes[i] >= 128}
+        runs = repairer.improbable(codes).tolist()
+        assert all(touched & set(range(a, b)) for a, b in runs) and touched <= {i for a, b in runs for i in range(a, b)}
+
+
 def test_empty_table(spark):
     assert find_garbled(spark.createDataFrame([], "doc_id long, text string"), "text").collect() == []
 

@@ -1,17 +1,21 @@
 """Text that was decoded with a wrong character encoding: finding it and restoring the original.
 
 1. Adjacent character pairs are counted over all texts.
-2. Each pair of a text is scored by its mutual information in the corpus, in the form ``log p(ab)**3 / p(a) p(b)``:
-   the cube keeps rare characters that only ever meet each other, as those of garbled text do, from looking probable.
-   A run of characters beyond ASCII is improbable, and examined, if its maximum-scoring segment of
-   ``threshold - score`` is positive, which is so as soon as one of its pairs is below the threshold.
-3. Only within such runs inverse mappings are tried: the characters are encoded by the supposed wrong encoding, and the
+2. Each pair of a text that has a character beyond ASCII is scored by its mutual information in the corpus, in the form
+   ``log p(ab)**3 / p(a) p(b)``: the cube keeps rare characters that only ever meet each other, as those of garbled
+   text do, from looking probable. A pair of ASCII characters is the same in all encodings, so nothing is scored there.
+3. Improbable runs are the maximum-scoring segments of ``threshold - score``, found over all scored pairs of a text. As
+   garbling makes some pairs frequent, a segment may end inside a garbled character; it is completed to the stretches
+   beyond ASCII that it touches.
+4. Only within such runs inverse mappings are tried: the characters are encoded by the supposed wrong encoding, and the
    bytes decoded by the supposed true one. A mapping counts if it succeeds and makes the run more probable, together
-   with its neighbours, under the corpus' pair probabilities; the gain is the difference of log probabilities.
-4. UTF-8 rarely decodes by chance, so one run that gains by it is enough; other encodings need gains that add up.
-   U+FFFD is what a decoder leaves of bytes it cannot read, and therefore marks a text by itself.
-5. The runs of a text are joined to the maximum-scoring segments under its best mapping, and these are restored, again
-   and again for text that was garbled more than once.
+   with its neighbours, under the corpus' pair probabilities; the gain is the difference of log probabilities. Where it
+   fails on a run as a whole, it is tried on its East Asian and other parts, and on the maximum-scoring segments
+   within it, so that sound characters right beside garbled ones do no harm.
+5. UTF-8 rarely decodes by chance, so one run that gains by it is enough; other encodings need gains that add up.
+   U+FFFD, which a decoder leaves of bytes it cannot read, marks a text if it lies in an improbable run.
+6. In a text that is known to be garbled improbable runs are sought again with a higher threshold, and only in these
+   the best mapping is undone, where it gains: again and again for text that was garbled more than once.
 
 Pair counts reach the workers as a sketch of fixed size (two rows of 2**21 counters, the lesser one counts), and
 character counts as tables of the size of Unicode, so what is broadcast does not grow with the corpus.
@@ -35,14 +39,17 @@ SKETCH_BITS = 21
 UNICODE = 0x110000
 #: Pairs with a score below this are improbable (nats).
 THRESHOLD = -16.0
+#: The same in a text that is known to be garbled, which is restored within such runs only.
+RAISED = -6.0
 #: Share of a character's successors that is left to any character by its own frequency.
 UNSEEN = 0.1
 #: Gain in nats that one run needs with UTF-8 as the true encoding.
 UTF8_GAIN = 1.0
 #: Gain in nats that all runs need together with another one, after what each must gain first.
 OTHER_GAIN, OTHER_TOLL = 4.0, 1.5
-#: Times a text may have been garbled, and runs a worker remembers.
-ROUNDS = 3
+#: Gain in nats of a part of a run that decodes as UTF-8 where the run as a whole does not.
+PART_GAIN = 6.0
+#: Runs a worker remembers.
 MEMO_ENTRIES = 100_000
 
 # Encodings by their names in Python.
@@ -124,7 +131,10 @@ _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-
 
 
 def utf8_stretches(run: str, wrong: str) -> list[tuple[int, int]]:
-    """Longest stretches of characters whose bytes in the double-byte encoding ``wrong`` are UTF-8 beyond ASCII."""
+    """Longest stretches of characters whose bytes in the encoding ``wrong`` are UTF-8 beyond ASCII; of at least three
+    bytes in double-byte encodings."""
+    if wrong in _CHARMAPS:
+        return [m.span() for m in _UTF8.finditer(to_bytes(run, wrong) or b"")]
     spans = [m.span() for m in _UTF8.finditer(run.encode(wrong, "replace")) if m.end() - m.start() >= 3]
     if not spans:
         return spans
@@ -239,11 +249,12 @@ class PairStatistics:
         a, b = _slots(codes[:-1] << 21 | codes[1:])
         return np.minimum(self.sketch[a], self.sketch[b])
 
-    def scores(self, codes: np.ndarray) -> np.ndarray:
-        """Cubed mutual information of each adjacent pair."""
-        n = np.maximum(self.pairs(codes), 0.5) / self.total
-        apart = np.maximum(self.first[codes[:-1]], 0.5) / self.total * np.maximum(self.second[codes[1:]], 0.5) / self.total
-        return 3 * np.log(n) - np.log(apart)
+    def scores_at(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Cubed mutual information of the pairs that begin at the places ``at``."""
+        one, two = codes[at], codes[at + 1]
+        a, b = _slots(one << 21 | two)
+        n = np.maximum(np.minimum(self.sketch[a], self.sketch[b]), 0.5).astype(float)
+        return np.log(n * n / np.maximum(self.first[one], 0.5) * n / np.maximum(self.second[two], 0.5)) - np.log(self.total)
 
     def log_probabilities(self, texts: list[str]) -> tuple[list[float], float]:
         """For each text the sum of the log probabilities of each character after the one before it; and, for the first
@@ -269,18 +280,49 @@ class Repairer:
         self.statistics = statistics
         self._memo: dict[tuple, list] = {}
 
-    def improbable(self, codes: np.ndarray) -> np.ndarray:
-        """Pairs (begin, end) of the runs beyond ASCII with a pair, borders included, below the threshold."""
-        beyond = np.r_[0, (codes >= 128).astype(np.int8), 0]
-        edge = np.flatnonzero(np.diff(beyond))
-        if not len(edge):
+    def segments(self, codes: np.ndarray, threshold: float) -> np.ndarray:
+        """Spans (begin, end) of the characters of all maximum-scoring segments of ``threshold - score``.
+
+        Pairs of ASCII characters and line ends part the pairs into clusters; no segment crosses them.
+        """
+        beyond = codes >= 128
+        at = np.flatnonzero(beyond[:-1] | beyond[1:])
+        if not len(at):
             return np.zeros((0, 2), np.int64)
+        value = threshold - self.statistics.scores_at(codes, at)
+        high = value > 0
+        parted = np.r_[True, (np.diff(at) != 1) | (codes[at[1:]] == 10)]
+        first = np.flatnonzero(parted | np.r_[True, high[1:] != high[:-1]])  # blocks of one sign
+        after = np.r_[first[1:], len(at)]
+        cluster = np.cumsum(parted)[first]
+        up = np.flatnonzero(high[first])
+        if not len(up):
+            return np.zeros((0, 2), np.int64)
+        # A block without another one in its cluster is a segment; otherwise blocks are weighed against each other.
+        alone = np.r_[True, cluster[up][1:] != cluster[up][:-1]] & np.r_[cluster[up][1:] != cluster[up][:-1], True]
+        begin, end = first[up[alone]], after[up[alone]]
+        many = up[~alone]
+        if len(many):
+            total = np.add.reduceat(value, first)
+            stops = np.flatnonzero(np.r_[True, cluster[many][1:] != cluster[many][:-1], True])
+            found = [(lo + a, lo + b) for s, e in zip(stops[:-1], stops[1:]) for lo in (many[s],) for a, b in maximal_segments(total[lo : many[e - 1] + 1].tolist())]
+            spans = np.array(found, np.int64)
+            begin, end = np.r_[begin, first[spans[:, 0]]], np.r_[end, after[spans[:, 1] - 1]]
+            order = np.argsort(begin)
+            begin, end = begin[order], end[order]
+        return np.column_stack([at[begin], at[end - 1] + 2])
+
+    def improbable(self, codes: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+        """Pairs (begin, end) of the stretches beyond ASCII that a maximum-scoring segment touches."""
+        edge = np.flatnonzero(np.diff(np.r_[0, (codes >= 128).astype(np.int8), 0]))
         begin, end = edge[::2], edge[1::2]
-        low = np.r_[self.statistics.scores(codes), 0.0, 0.0]
-        cuts = np.column_stack([np.maximum(begin - 1, 0), end]).ravel()
-        # A pair belongs to the run of either of its characters; between runs lies at least one pair.
-        worst = np.minimum.reduceat(low, np.minimum(cuts, len(low) - 1))[::2]
-        return np.column_stack([begin, end])[worst < THRESHOLD]
+        spans = self.segments(codes, threshold)
+        lo, hi = np.searchsorted(end, spans[:, 0], side="right"), np.searchsorted(begin, spans[:, 1])
+        touched = np.zeros(len(begin) + 1, np.int64)
+        np.add.at(touched, lo, 1)
+        np.add.at(touched, hi, -1)
+        keep = np.cumsum(touched[:-1]) > 0
+        return np.column_stack([begin[keep], end[keep]])
 
     def gains(self, before: str, run: str, after: str, mappings: dict[str, list[str]], kind: str) -> list[tuple[float, tuple[str, str]]]:
         """``(gain, mapping)`` of the mappings that make a run more probable, or else its East Asian and other parts."""
@@ -291,8 +333,8 @@ class Repairer:
             if not known and len(parts := (SPLIT if kind == "n" else SPLIT_WIDE).findall(run)) > 1:
                 around = [before, *parts, after]
                 known = [g for k, part in enumerate(parts) for g in self.gains(around[k][-1], part, around[k + 2][0], mappings, kind)]
-            if not known:
-                known = [(g, m) for g, m, _, _ in self.isolated(before, run, after, mappings)]
+            if kind == "n" and not any(m[1] == "utf-8" for _, m in known):
+                known = known + [(g, m) for g, m, _, _ in self.isolated(before, run, after, mappings)]
             if len(self._memo) >= MEMO_ENTRIES:
                 self._memo.clear()
             self._memo[key] = known
@@ -312,18 +354,21 @@ class Repairer:
         return [(g, m) for g, m in weighed if g > 0]
 
     def isolated(self, before: str, run: str, after: str, mappings: dict[str, list[str]]) -> list[tuple[float, tuple[str, str], int, int]]:
-        """``(gain, mapping, begin, end)`` of the stretches within a run that gain where the run as a whole does not.
+        """``(gain, mapping, begin, end)`` of the parts of a run that gain where the run as a whole does not.
 
-        Only for UTF-8 read as a double-byte encoding, whose byte patterns tell how far a stretch goes; it must meet a
-        maximum-scoring segment of ``threshold - score`` over the pairs of the run and its borders, the threshold being
-        the run's mean score if that is lower. In single bytes, patterns of UTF-8 form by chance within other encodings.
+        Parts are maximum-scoring segments of ``threshold - score`` over the pairs of the run and its borders, the
+        threshold being the run's mean score if that is lower. The byte patterns of UTF-8 tell how far the part reaches
+        that meets a segment. In single bytes such patterns form by chance within other encodings, so they must gain
+        more.
         """
         if len(run) < 3:
             return []
         stretches = [(w, a, b) for w in DOUBLE if "utf-8" in mappings.get(w, ()) for a, b in utf8_stretches(run, w) if b - a < len(run)]
-        if not stretches:
+        single = [w for w in SINGLE if "utf-8" in mappings.get(w, ()) and to_bytes(run, w) is not None]
+        if not stretches and not single:
             return []
-        scores = self.statistics.scores(_codes(before + run + after))
+        codes = _codes(before + run + after)
+        scores = self.statistics.scores_at(codes, np.arange(len(codes) - 1))
         segments = maximal_segments((min(THRESHOLD, float(scores.mean())) - scores).tolist())
         out = []
         for wrong, a, b in stretches:
@@ -332,36 +377,49 @@ class Repairer:
                 ends = [(i, j) for i in (a, a + 1) for j in (b - 1, b) if j - i >= 2]
                 tried = [(*g, i, j) for i, j in ends for g in self._tried(run[i - 1 : i] or before, run[i:j], run[j : j + 1] or after, {wrong: ["utf-8"]})]
                 out += [max(tried)] if tried else []
+        for wrong in single:
+            for a, b in utf8_stretches(run, wrong):
+                if b - a < len(run) and any(a < j and b >= i for i, j in segments):
+                    tried = self._tried(run[a - 1 : a] or before, run[a:b], run[b : b + 1] or after, {wrong: ["utf-8"]})
+                    out += [(*g, a, b) for g in tried if g[0] > PART_GAIN]
         return out
 
-    def _weigh(self, text: str, runs: list[list[int]], mappings: dict[str, list[str]], kind: str) -> tuple[Counter, Counter]:
-        """Best gain and sum of gains beyond the toll, by mapping."""
-        best, total = Counter(), Counter()
+    def _weigh(self, text: str, runs: list[list[int]], mappings: dict[str, list[str]], kind: str) -> tuple[Counter, Counter, Counter]:
+        """Best gain, sum of gains beyond the toll, and runs that gain, by mapping."""
+        best, total, helped = Counter(), Counter(), Counter()
         for (before, run, after), times in Counter((text[a - 1 : a] or "\n", text[a:b], text[b : b + 1] or "\n") for a, b in runs).items():
             for gain, mapping in self.gains(before, run, after, mappings, kind):
                 best[mapping] = max(best[mapping], gain)
                 total[mapping] += times * (gain if mapping[1] == "utf-8" else max(0.0, gain - OTHER_TOLL))
-        return best, total
+                helped[mapping] += times
+        return best, total, helped
 
     def mapping(self, text: str, runs: list[list[int]]) -> tuple[tuple[str, str], float] | None:
-        """The mapping that explains the improbable runs of a text, and its gain; null if there is none."""
-        best, total = self._weigh(text, runs, NARROW_TRIES, "n")
+        """The mapping that explains the improbable runs of a text, and its gain; null if there is none.
+
+        UTF-8 that explains half of the runs is taken at once; otherwise the mapping with the greatest gain.
+        """
+        best, total, helped = self._weigh(text, runs, NARROW_TRIES, "n")
         sure = [(total[m], m) for m in total if m[1] == "utf-8" and best[m] > UTF8_GAIN]
-        if not sure:
+        if not sure or 2 * helped[max(sure)[1]] < len(runs):
             wide = [m.span() for m in WIDE.finditer(text)]
             starts = np.array([a for a, _ in wide], np.int64)
             held = np.unique(np.searchsorted(starts, [a for a, _ in runs], side="right") - 1).tolist()
-            _, more = self._weigh(text, [wide[i] for i in held if i >= 0], WIDE_TRIES, "d")
-            sure = [(g, m) for m, g in (total + more).items() if m[1] != "utf-8" and g > OTHER_GAIN]
+            _, more, _ = self._weigh(text, [wide[i] for i in held if i >= 0], WIDE_TRIES, "d")
+            sure += [(g, m) for m, g in (total + more).items() if m[1] != "utf-8" and g > OTHER_GAIN]
         if not sure:
             return None
         gain, mapping = max(sure)
         return mapping, gain
 
     def undo(self, text: str, mapping: tuple[str, str]) -> str:
-        """``text`` with the segments restored that gain by ``mapping`` as a whole."""
+        """``text`` with the improbable runs restored that gain by ``mapping``; the rest stays as it is."""
+        runs = self.improbable(_codes("\n" + text + "\n"), RAISED) - 1
         spans = []
         for a, b in (m.span() for m in _PATTERNS[mapping].finditer(text)):
+            k = np.searchsorted(runs[:, 1], a, side="right")
+            if k == len(runs) or runs[k, 0] >= b:
+                continue
             parts = []
             if inverse(text[a:b], *mapping) is None:
                 found = self.isolated(text[a - 1 : a] or "\n", text[a:b], text[b : b + 1] or "\n", {mapping[0]: [mapping[1]]})
@@ -377,7 +435,7 @@ class Repairer:
             if back is None:
                 scores.append(-4.0)
             elif mapping[1] == "utf-8":
-                scores.append(1.0)  # what decodes as UTF-8 in a text that was read wrongly was read wrongly, too
+                scores.append(1.0)  # an improbable run that decodes as UTF-8 in a text that was read wrongly
             else:
                 (own, other), _ = self.statistics.log_probabilities([text[a:b].join(context), back.join(context)])
                 scores.append(other - own)
@@ -393,20 +451,19 @@ class Repairer:
     def repair(self, text: str, runs: list[list[int]]) -> tuple[str | None, str | None, float]:
         """``(mappings undone, restored text, gain)``; no mappings and no text if the text is in order, and no text if
         characters are lost for good."""
-        undone, gain, now = [], 0.0, text
-        for _ in range(ROUNDS):
-            found = self.mapping(now, runs)
-            if found is None:
-                break
+        undone, gain, now, seen = [], 0.0, text, {text}
+        lost = any(LOST in text[a:b] for a, b in runs)
+        while (found := self.mapping(now, runs)) is not None:
             after = self.undo(now, found[0])
             undone.append("/".join(found[0]))
             gain += found[1]
-            if after == now:
+            if after in seen:
                 break
             now = after
-            runs = self.improbable(_codes(now)).tolist()
+            seen.add(now)
+            runs = (self.improbable(_codes("\n" + now + "\n")) - 1).tolist()
         if not undone:
-            return (("lost", None, 0.0) if LOST in text else (None, None, 0.0))
+            return ("lost", None, 0.0) if lost else (None, None, 0.0)
         return " ".join(undone), (None if LOST in now else now), gain
 
 
@@ -436,7 +493,7 @@ def find_garbled(documents: DataFrame, text: str, prefix: str = "") -> DataFrame
                 spans = repairer.improbable(codes)
                 borders = np.searchsorted(spans[:, 0], starts)
                 for i, (t, lo, hi) in enumerate(zip(texts, borders[:-1].tolist(), borders[1:].tolist())):
-                    if lo == hi and LOST not in t:
+                    if lo == hi:
                         continue
                     found = repairer.repair(t, (spans[lo:hi] - starts[i]).tolist())
                     if found[0] is not None:
