@@ -72,6 +72,8 @@ WIDE = re.compile(r"(?:[^\x00-\x7f]+[@-~]?)+")
 SPLIT = re.compile(r"[\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+|[^\x00-\x7f\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+")
 SPLIT_WIDE = re.compile(r"(?:[\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+[@-~]?)+|(?:[^\x00-\x7f\u2e80-\uf8ff\ufe30-\ufe4f\uff00-\uffef]+[@-~]?)+")
 LOST = "\ufffd"
+#: Characters that no single-byte encoding has.
+EAST = re.compile(r"[\u2e80-\uf8fe]")
 #: Punctuation that stands by itself in any text; unless it is inside a word, it is no evidence for single bytes.
 ORDINARY = frozenset("…–—‘’‚“”„°•")
 
@@ -114,8 +116,9 @@ def inverse(text: str, wrong: str, true: str) -> str | None:
 def inverses(text: str, mappings: dict[str, list[str]]) -> dict[tuple[str, str], str]:
     """All that ``text`` may have been, by mapping; ``mappings`` has the true encodings of each wrong one."""
     out = {}
+    east = EAST.search(text) is not None
     for wrong, trues in mappings.items():
-        raw = to_bytes(text, wrong)
+        raw = None if east and wrong in _CHARMAPS else to_bytes(text, wrong)
         if raw is not None:
             for true in trues:
                 try:
@@ -135,9 +138,12 @@ def utf8_stretches(run: str, wrong: str) -> list[tuple[int, int]]:
     bytes in double-byte encodings."""
     if wrong in _CHARMAPS:
         return [m.span() for m in _UTF8.finditer(to_bytes(run, wrong) or b"")]
-    spans = [m.span() for m in _UTF8.finditer(run.encode(wrong, "replace")) if m.end() - m.start() >= 3]
+    raw = run.encode(wrong, "replace")
+    spans, size = [m.span() for m in _UTF8.finditer(raw) if m.end() - m.start() >= 3], len(raw)
     if not spans:
         return spans
+    if size == 2 * len(run):
+        return [(a // 2, b // 2) for a, b in spans if not (a | b) & 1]
     border = {e: k for k, e in enumerate(np.cumsum([0, *(len(c.encode(wrong, "replace")) for c in run)]).tolist())}
     return [(border[a], border[b]) for a, b in spans if a in border and b in border]
 
@@ -256,18 +262,21 @@ class PairStatistics:
         n = np.maximum(np.minimum(self.sketch[a], self.sketch[b]), 0.5).astype(float)
         return np.log(n * n / np.maximum(self.first[one], 0.5) * n / np.maximum(self.second[two], 0.5)) - np.log(self.total)
 
-    def log_probabilities(self, texts: list[str]) -> tuple[list[float], float]:
-        """For each text the sum of the log probabilities of each character after the one before it; and, for the first
-        text, what it owes to pairs within it: how far they are more frequent than their characters alone."""
+    def log_probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the sum of the log probabilities of each character after the one before it, and what it owes
+        to pairs within it: how far they, without the first and last pair, are more frequent than their characters
+        alone. Texts have at least two characters."""
         codes = _codes("".join(texts))
         sizes = np.array([len(t) for t in texts])
         ends = sizes.cumsum()
+        begins = ends - sizes
         alone = (self.second[codes[1:]] + 0.01) / self.total
         each = np.log((1 - UNSEEN) * self.pairs(codes) / np.maximum(self.first[codes[:-1]], 1.0) + UNSEEN * alone)
-        inner = slice(1, ends[0] - 2)
-        bonus = np.maximum(each[inner] - np.log(alone[inner]), 0.0).sum()
+        bonus = np.maximum(each - np.log(alone), 0.0)
         each[ends[:-1] - 1] = 0.0  # from one text to the next
-        return np.add.reduceat(each, ends - sizes).tolist(), float(bonus)
+        for outer in (ends[:-1] - 1, begins, ends - 2):
+            bonus[outer] = 0.0
+        return np.add.reduceat(each, begins), np.add.reduceat(bonus, begins)
 
 
 # --- decisions ----------------------------------------------------------------------------------------------------
@@ -279,6 +288,35 @@ class Repairer:
     def __init__(self, statistics: PairStatistics):
         self.statistics = statistics
         self._memo: dict[tuple, list] = {}
+        self._ready: dict[tuple, list] = {}
+
+    def prepare(self, texts: list[str], runs: list[list[list[int]]]) -> list[tuple[Counter, Counter]]:
+        """The runs of each text with their neighbours, narrow and wide, and how often. All mappings of all runs that
+        are not known yet are weighed at once."""
+        counted = [(self._around(t, r), self._around(t, self._widened(t, r))) for t, r in zip(texts, runs)]
+        self._ready.clear()
+        for k, (kind, mappings) in enumerate((("n", NARROW_TRIES), ("d", WIDE_TRIES))):
+            new = [key for key in dict.fromkeys(key for c in counted for key in c[k]) if (kind, *key) not in self._memo]
+            self._ready.update(((kind, *key), found) for key, found in zip(new, self._weighed(new, mappings)))
+        return counted
+
+    @staticmethod
+    def _around(text: str, spans: list[list[int]]) -> Counter:
+        text = "\n" + text + "\n"
+        return Counter([(text[a], text[a + 1 : b + 1], text[b + 1]) for a, b in spans])
+
+    @staticmethod
+    def _widened(text: str, runs: list[list[int]]) -> list[tuple[int, int]]:
+        """The stretches that hold ``runs`` if second bytes may be ASCII."""
+        spans, last = [], 0
+        for a, b in runs:
+            if a >= last:
+                first = a
+                while first >= 2 and ("@" <= text[first - 1] <= "~" and text[first - 2] > "\x7f"):
+                    first = next((k + 1 for k in range(first - 3, -1, -1) if text[k] <= "\x7f"), 0)
+                last = WIDE.match(text, max(first, last)).end()
+                spans.append((max(first, spans[-1][1] if spans else 0), last))
+        return spans
 
     def segments(self, codes: np.ndarray, threshold: float) -> np.ndarray:
         """Spans (begin, end) of the characters of all maximum-scoring segments of ``threshold - score``.
@@ -329,7 +367,9 @@ class Repairer:
         key = (kind, before, run, after)
         known = self._memo.get(key)
         if known is None:
-            known = self._tried(before, run, after, mappings)
+            known = self._ready.get(key)
+            if known is None:
+                known = self._tried(before, run, after, mappings)
             if not known and len(parts := (SPLIT if kind == "n" else SPLIT_WIDE).findall(run)) > 1:
                 around = [before, *parts, after]
                 known = [g for k, part in enumerate(parts) for g in self.gains(around[k][-1], part, around[k + 2][0], mappings, kind)]
@@ -341,17 +381,29 @@ class Repairer:
         return known
 
     def _tried(self, before: str, run: str, after: str, mappings: dict[str, list[str]]) -> list[tuple[float, tuple[str, str]]]:
-        backs = inverses(run, mappings)
-        if ORDINARY.issuperset(run) and not (before + after).isalpha():
-            backs = {m: back for m, back in backs.items() if m[1] == "utf-8"}
-        if not backs:
-            return []
-        texts = list(dict.fromkeys(backs.values()))
-        (own, *sums), bonus = self.statistics.log_probabilities([before + run + after, *(before + back + after for back in texts)])
-        gain = {back: x - own for back, x in zip(texts, sums)}
+        return self._weighed([(before, run, after)], mappings)[0]
+
+    def _weighed(self, keys: list[tuple[str, str, str]], mappings: dict[str, list[str]]) -> list[list[tuple[float, tuple[str, str]]]]:
+        """For each ``(before, run, after)`` the mappings that make the run more probable, with their gains."""
+        texts: list[str] = []
+        tried = []
+        for before, run, after in keys:
+            backs = inverses(run, mappings)
+            if backs and ORDINARY.issuperset(run) and not (before + after).isalpha():
+                backs = {m: back for m, back in backs.items() if m[1] == "utf-8"}
+            if backs:
+                place = {back: len(texts) + 1 + k for k, back in enumerate(dict.fromkeys(backs.values()))}
+                tried.append((len(texts), [(place[back], m) for m, back in backs.items()]))
+                texts.append(before + run + after)
+                texts += [before + back + after for back in place]
+            else:
+                tried.append((0, ()))
+        if not texts:
+            return [[] for _ in keys]
+        sums, bonus = (v.tolist() for v in self.statistics.log_probabilities(texts))
         # Pairs of characters that UTF-8 makes of one are frequent only because texts were garbled.
-        weighed = [(gain[back] + (bonus if m[1] == "utf-8" else 0.0), m) for m, back in backs.items()]
-        return [(g, m) for g, m in weighed if g > 0]
+        weighed = [[(sums[k] - sums[own] + (bonus[own] if m[1] == "utf-8" else 0.0), m) for k, m in ways] for own, ways in tried]
+        return [[(g, m) for g, m in ways if g > 0] for ways in weighed]
 
     def isolated(self, before: str, run: str, after: str, mappings: dict[str, list[str]]) -> list[tuple[float, tuple[str, str], int, int]]:
         """``(gain, mapping, begin, end)`` of the parts of a run that gain where the run as a whole does not.
@@ -364,7 +416,7 @@ class Repairer:
         if len(run) < 3:
             return []
         stretches = [(w, a, b) for w in DOUBLE if "utf-8" in mappings.get(w, ()) for a, b in utf8_stretches(run, w) if b - a < len(run)]
-        single = [w for w in SINGLE if "utf-8" in mappings.get(w, ()) and to_bytes(run, w) is not None]
+        single = [w for w in SINGLE if "utf-8" in mappings.get(w, ()) and to_bytes(run, w) is not None] if not EAST.search(run) else []
         if not stretches and not single:
             return []
         codes = _codes(before + run + after)
@@ -384,28 +436,25 @@ class Repairer:
                     out += [(*g, a, b) for g in tried if g[0] > PART_GAIN]
         return out
 
-    def _weigh(self, text: str, runs: list[list[int]], mappings: dict[str, list[str]], kind: str) -> tuple[Counter, Counter, Counter]:
+    def _weigh(self, counted: Counter, mappings: dict[str, list[str]], kind: str) -> tuple[Counter, Counter, Counter]:
         """Best gain, sum of gains beyond the toll, and runs that gain, by mapping."""
         best, total, helped = Counter(), Counter(), Counter()
-        for (before, run, after), times in Counter((text[a - 1 : a] or "\n", text[a:b], text[b : b + 1] or "\n") for a, b in runs).items():
+        for (before, run, after), times in counted.items():
             for gain, mapping in self.gains(before, run, after, mappings, kind):
                 best[mapping] = max(best[mapping], gain)
                 total[mapping] += times * (gain if mapping[1] == "utf-8" else max(0.0, gain - OTHER_TOLL))
                 helped[mapping] += times
         return best, total, helped
 
-    def mapping(self, text: str, runs: list[list[int]]) -> tuple[tuple[str, str], float] | None:
+    def mapping(self, narrow: Counter, wide: Counter) -> tuple[tuple[str, str], float] | None:
         """The mapping that explains the improbable runs of a text, and its gain; null if there is none.
 
         UTF-8 that explains half of the runs is taken at once; otherwise the mapping with the greatest gain.
         """
-        best, total, helped = self._weigh(text, runs, NARROW_TRIES, "n")
+        best, total, helped = self._weigh(narrow, NARROW_TRIES, "n")
         sure = [(total[m], m) for m in total if m[1] == "utf-8" and best[m] > UTF8_GAIN]
-        if not sure or 2 * helped[max(sure)[1]] < len(runs):
-            wide = [m.span() for m in WIDE.finditer(text)]
-            starts = np.array([a for a, _ in wide], np.int64)
-            held = np.unique(np.searchsorted(starts, [a for a, _ in runs], side="right") - 1).tolist()
-            _, more, _ = self._weigh(text, [wide[i] for i in held if i >= 0], WIDE_TRIES, "d")
+        if not sure or 2 * helped[max(sure)[1]] < narrow.total():
+            more = self._weigh(wide, WIDE_TRIES, "d")[1]
             sure += [(g, m) for m, g in (total + more).items() if m[1] != "utf-8" and g > OTHER_GAIN]
         if not sure:
             return None
@@ -437,7 +486,7 @@ class Repairer:
             elif mapping[1] == "utf-8":
                 scores.append(1.0)  # an improbable run that decodes as UTF-8 in a text that was read wrongly
             else:
-                (own, other), _ = self.statistics.log_probabilities([text[a:b].join(context), back.join(context)])
+                own, other = self.statistics.log_probabilities([text[a:b].join(context), back.join(context)])[0].tolist()
                 scores.append(other - own)
         out, at = [], 0
         for first, last in maximal_segments(scores):
@@ -448,12 +497,13 @@ class Repairer:
                     at = b
         return "".join([*out, text[at:]])
 
-    def repair(self, text: str, runs: list[list[int]]) -> tuple[str | None, str | None, float]:
+    def repair(self, text: str, runs: list[list[int]], counted: tuple[Counter, Counter] | None = None) -> tuple[str | None, str | None, float]:
         """``(mappings undone, restored text, gain)``; no mappings and no text if the text is in order, and no text if
-        characters are lost for good."""
+        characters are lost for good. ``counted`` is what ``prepare`` gave."""
         undone, gain, now, seen = [], 0.0, text, {text}
         lost = any(LOST in text[a:b] for a, b in runs)
-        while (found := self.mapping(now, runs)) is not None:
+        narrow, wide = counted or (self._around(text, runs), self._around(text, self._widened(text, runs)))
+        while (found := self.mapping(narrow, wide)) is not None:
             after = self.undo(now, found[0])
             undone.append("/".join(found[0]))
             gain += found[1]
@@ -462,6 +512,7 @@ class Repairer:
             now = after
             seen.add(now)
             runs = (self.improbable(_codes("\n" + now + "\n")) - 1).tolist()
+            narrow, wide = self._around(now, runs), self._around(now, self._widened(now, runs))
         if not undone:
             return ("lost", None, 0.0) if lost else (None, None, 0.0)
         return " ".join(undone), (None if LOST in now else now), gain
@@ -492,10 +543,10 @@ def find_garbled(documents: DataFrame, text: str, prefix: str = "") -> DataFrame
                 starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
                 spans = repairer.improbable(codes)
                 borders = np.searchsorted(spans[:, 0], starts)
-                for i, (t, lo, hi) in enumerate(zip(texts, borders[:-1].tolist(), borders[1:].tolist())):
-                    if lo == hi:
-                        continue
-                    found = repairer.repair(t, (spans[lo:hi] - starts[i]).tolist())
+                at = np.flatnonzero(np.diff(borders)).tolist()
+                runs = [(spans[borders[i] : borders[i + 1]] - starts[i]).tolist() for i in at]
+                for i, own, counted in zip(at, runs, repairer.prepare([texts[i] for i in at], runs)):
+                    found = repairer.repair(texts[i], own, counted)
                     if found[0] is not None:
                         rows.append(base + i)
                         results.append(found)
