@@ -108,7 +108,8 @@ def pack(items: DataFrame, size: str, capacity: int) -> DataFrame:
     column are replaced.
 
     Ranks among equal sizes come from the items' partitions and offsets between these, so a size that a third of all
-    items have is never brought into one task.
+    items have is never brought into one task. Which of several items of equal size goes where follows the layout of the
+    files and their partitions; container sizes and their number do not.
     """
     names = [c for c in items.columns if c not in RESULT]
     items = items.select(*names, F.col(size).alias("_size"))
