@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import electrical as el
 from ..functions import geometry as geo
+from ..operators import linear as la
 from ..operators.graph import propagated
 from ..operators.spatial import near_or_inside
 from ..tables import finite, known, layer_key, layer_keys, once_per_key, table
@@ -79,9 +80,9 @@ def terminal_pads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def smd_terminals(spark: SparkSession, folder: str) -> DataFrame:
-    """Terminal pads without hole, per board."""
+    """The centres of terminal pads without hole, from all lists."""
     pads = terminal_pads(spark, folder).filter(~F.coalesce("is_tht", F.lit(False)) & finite("x") & finite("y"))
-    return pads.groupBy("board_id").agg(F.count("*").alias("smd"), r(F.min("x")).alias("min_x"), r(F.max("x")).alias("max_x"))
+    return pads.select("board_id", "kind", "owner_id", "side", F.col("pad_no").cast("long").alias("pad_no"), r(F.col("x"), 6).alias("x"), r(F.col("y"), 6).alias("y"))
 
 
 def distinct_terminals(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,18 +140,22 @@ def nearest_pads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exempt_drills(spark: SparkSession, folder: str) -> DataFrame:
-    """Vias per board without those at the centre (within 0.05) of a pad that has no hole (distance anti join)."""
-    vias = once(spark, folder, "vias", "board_id", "x", "y").filter(finite("x") & finite("y"))
+    """Vias without those at the centre (within 0.05) of a pad that has no hole (distance anti join)."""
+    vias = once(spark, folder, "vias", "board_id", "x", "y", "hole_diameter").filter(finite("x") & finite("y"))
     pads = located_pads(spark, folder).filter(~F.coalesce("is_tht", F.lit(False)))
     met = near_or_inside(_points(vias), _sites(pads), _no_regions(spark), 0.05).select(F.col("point_id").alias("via_id"))
-    return vias.join(met, "via_id", "left_anti").groupBy("board_id").agg(F.count("*").alias("drills"))
+    return vias.join(met, "via_id", "left_anti").select("via_id", "board_id", "x", "y", "hole_diameter")
 
 
 def pin_pads(spark: SparkSession, folder: str) -> DataFrame:
-    """Pads at the position of a terminal, by coordinates rounded to two digits; the first terminal names the pad."""
-    pads = located_pads(spark, folder).filter(finite("x") & finite("y")).select("pad_id", "board_id", F.round("x", 2).alias("kx"), F.round("y", 2).alias("ky")).distinct()
-    ends = terminal_pads(spark, folder).filter(finite("x") & finite("y")).select("board_id", F.round("x", 2).alias("kx"), F.round("y", 2).alias("ky"), "owner_id")
-    return pads.join(ends, ["board_id", "kx", "ky"]).groupBy("pad_id").agg(F.min("owner_id").alias("owner_id"), F.count("*").alias("terminals"))
+    """Pads and component pins by position in hundredths of a millimetre: the first pad of a position, with the designator of
+    the pins there filled in (the lesser name where several), and positions that only pins have."""
+    at = [F.floor(F.col(c) * 100 + 0.5).alias(f"k{c}") for c in "xy"]
+    pads = located_pads(spark, folder).filter(finite("x") & finite("y")).select("board_id", *at, "pad_id", F.lit(None).cast("string").alias("ref_des"))
+    names = once(spark, folder, "sources", "ref_des").select(F.lit("source").alias("kind"), F.col("source_id").alias("owner_id"), "ref_des")
+    names = names.unionByName(once(spark, folder, "loads", "ref_des").select(F.lit("load").alias("kind"), F.col("load_id").alias("owner_id"), "ref_des"))
+    pins = terminal_pads(spark, folder).filter(finite("x") & finite("y")).join(names, ["kind", "owner_id"]).select("board_id", *at, F.lit(None).cast("long").alias("pad_id"), "ref_des")
+    return pads.unionByName(pins).groupBy("board_id", "kx", "ky").agg(F.min("pad_id").alias("pad_id"), F.min(F.nullif("ref_des", F.lit(""))).alias("ref_des"))
 
 
 def pads_in_pours(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,9 +187,9 @@ def board_bounds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pour_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """Pours and their area per net and layer."""
-    pours = once(spark, folder, "copper_pours", "net", "layer", "vertices")
-    return pours.groupBy(known("net").alias("net"), "layer").agg(F.count("*").alias("pours"), r(F.sum(F.abs(geo.ring_area("vertices"))), 2).alias("area"))
+    """Pours and their area per board, net and layer."""
+    pours = once(spark, folder, "copper_pours", "board_id", "net", "layer", "vertices")
+    return pours.groupBy("board_id", known("net").alias("net"), "layer").agg(F.count("*").alias("pours"), r(F.sum(F.abs(geo.ring_area("vertices"))), 2).alias("area"))
 
 
 def pads_by_net(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,9 +205,9 @@ def rail_currents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def smallest_holes(spark: SparkSession, folder: str) -> DataFrame:
-    """Least positive hole per net and layer."""
-    vias = once(spark, folder, "vias", "net", "hole_diameter", "layer_names").filter((F.col("hole_diameter") > 0) & known("net").isNotNull())
-    return vias.select("net", F.explode(layer_keys("layer_names")).alias("layer"), "hole_diameter").groupBy("net", "layer").agg(F.min("hole_diameter").alias("hole"))
+    """Least positive hole per board, net and layer."""
+    vias = once(spark, folder, "vias", "board_id", "net", "hole_diameter", "layer_names").filter((F.col("hole_diameter") > 0) & known("net").isNotNull())
+    return vias.select("board_id", "net", F.explode(layer_keys("layer_names")).alias("layer"), "hole_diameter").groupBy("board_id", "net", "layer").agg(F.min("hole_diameter").alias("hole"))
 
 
 def median_extents(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,10 +242,10 @@ def ground_nets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def voltage_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    """Meshes and range of potentials per layer and net; NaN and infinite values count as 0."""
-    meshes = once(spark, folder, "mesh_outputs", "layer_name", "net", "potentials").filter(known("net").isNotNull())
+    """Meshes and range of potentials per run, board, layer and net; NaN and infinite values count as 0."""
+    meshes = once(spark, folder, "mesh_outputs", "run_id", "board_id", "layer_name", "net", "potentials").filter(known("net").isNotNull())
     clean = F.transform(F.filter("potentials", lambda v: v.isNotNull()), el.sanitized)
-    return meshes.groupBy(layer_key("layer_name").alias("layer"), "net").agg(F.count("*").alias("meshes"), F.min(F.array_min(clean)).alias("low"), F.max(F.array_max(clean)).alias("high"))
+    return meshes.groupBy("run_id", "board_id", layer_key("layer_name").alias("layer"), "net").agg(F.count("*").alias("meshes"), F.min(F.array_min(clean)).alias("low"), F.max(F.array_max(clean)).alias("high"))
 
 
 def element_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -324,14 +329,15 @@ def propagated_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def capacity_checks(spark: SparkSession, folder: str, rise: float = 10.0) -> DataFrame:
-    """Current of each loaded net against what its narrowest via land carries per layer; only more than 80 % is told."""
-    currents = rail_currents(spark, folder).groupBy("net").agg(F.sum("current").alias("current")).filter("current > 0")
-    vias = once(spark, folder, "vias", "net", "diameter", "layer_names").filter((F.col("diameter") > 0) & known("net").isNotNull())
-    widths = vias.select("net", F.explode(layer_keys("layer_names")).alias("layer"), "diameter").groupBy("net", "layer").agg(F.min("diameter").alias("width"))
+    """Current of each loaded net of a board against what its narrowest via land carries per layer; only more than 80 %
+    is told."""
+    currents = rail_currents(spark, folder).filter("current > 0").select("board_id", "net", "current")
+    vias = once(spark, folder, "vias", "board_id", "net", "diameter", "layer_names").filter((F.col("diameter") > 0) & known("net").isNotNull())
+    widths = vias.select("board_id", "net", F.explode(layer_keys("layer_names")).alias("layer"), "diameter").groupBy("board_id", "net", "layer").agg(F.min("diameter").alias("width"))
     layers = F.broadcast(table(spark, folder, "layer_map").select(layer_key("layer_name").alias("layer"), (F.col("conductance") / el.SIGMA).alias("thickness")))  # a fixed table
     limits = widths.join(layers, "layer").withColumn("limit", el.trace_capacity(F.col("width"), el.copper_ounces(F.col("thickness")), F.lit(rise), el.is_outer_layer(F.col("layer"))))
-    checks = currents.join(limits, "net").withColumn("used", el.utilization(F.col("current"), F.col("limit"))).filter("used > 0.8")
-    return checks.select("net", "layer", r(F.col("current")).alias("current"), r(F.col("limit")).alias("capacity"), r(F.col("used"), 3).alias("utilization"), (F.col("used") > 1).alias("exceeded"))
+    checks = currents.join(limits, ["board_id", "net"]).withColumn("used", el.utilization(F.col("current"), F.col("limit"))).filter("used > 0.8")
+    return checks.select("board_id", "net", "layer", r(F.col("current")).alias("current"), r(F.col("limit")).alias("capacity"), r(F.col("used"), 3).alias("utilization"), (F.col("used") > 1).alias("exceeded"))
 
 
 def via_positions(spark: SparkSession, folder: str) -> DataFrame:
@@ -343,9 +349,10 @@ def via_positions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def connection_points(spark: SparkSession, folder: str) -> DataFrame:
-    """Terminals per board, layer and kind; those without layer are left out."""
-    ends = terminal_pads(spark, folder).select("board_id", layer_key("layer").alias("layer"), "kind").filter("layer is not null")
-    return ends.groupBy("board_id", "layer", "kind").agg(F.count("*").alias("points"))
+    """Terminals as they are drawn, per layer; those without layer or position are left out."""
+    ends = terminal_pads(spark, folder).withColumn("layer", layer_key("layer")).filter(F.col("layer").isNotNull() & finite("x") & finite("y"))
+    drawn = F.when(F.coalesce("is_tht", F.lit(False)) & (F.coalesce("hole_diameter", F.lit(0.0)) > 0), F.col("hole_diameter")).otherwise(F.lit(0.5))
+    return ends.select("board_id", "layer", (F.col("kind") == "source").alias("is_source"), "owner_id", "side", F.col("pad_no").cast("long").alias("pad_no"), r(F.col("x"), 6).alias("x"), r(F.col("y"), 6).alias("y"), r(drawn, 6).alias("diameter"))
 
 
 # --- meshes and matrices ------------------------------------------------------------------------------------------
@@ -385,32 +392,31 @@ def boundary_edges(spark: SparkSession, folder: str) -> DataFrame:
     return uses.filter("n = 1").drop("n")
 
 
-def laplacian(spark: SparkSession, folder: str) -> DataFrame:
-    """The conductance matrix of each mesh in coordinates, duplicates summed.
+KEY = ["solution_id", "layer_no", "mesh_no"]
 
-    Half cotangents per corner, their size clamped to within a factor of 10000 of the mesh's upper median size, times
-    the default sheet conductance.
-    """
-    s = el.SIGMA * el.COPPER
-    p = [F.col(f"p{i}") for i in range(3)]
-    stamps = F.array(*[F.struct(F.col(f"v{(i + 1) % 3}").alias("a"), F.col(f"v{(i + 2) % 3}").alias("b"), geo.half_cotangent(p[i], p[(i + 1) % 3], p[(i + 2) % 3]).alias("w")) for i in range(3)])
-    w = corners(spark, folder).select("solution_id", "layer_no", "mesh_no", "triangle_no", F.inline(stamps)).filter("w <> 0").withColumn("size", F.abs("w"))
-    key = ["solution_id", "layer_no", "mesh_no"]
-    by = Window.partitionBy(*key)
-    placed = w.withColumn("at", F.row_number().over(by.orderBy("size"))).withColumn("n", F.count("*").over(by))
-    median = F.max(F.when(F.expr("at = n div 2 + 1"), F.col("size"))).over(by)
-    clamped = placed.withColumn("m", median).withColumn("w", F.signum("w") * F.greatest(F.col("m") / 1e4, F.least(F.col("m") * 1e4, F.col("size"))) * s)
-    four = F.array(*[F.struct(F.col(i).alias("row"), F.col(j).alias("col"), (F.col("w") * sign).alias("value")) for i, j, sign in (("a", "a", 1), ("b", "b", 1), ("a", "b", -1), ("b", "a", -1))])
-    coo = clamped.select(*key, F.inline(four))
-    return coo.groupBy(*key, "row", "col").agg(r(F.sum("value"), 3).alias("value"))
+
+def conductances(spark: SparkSession, folder: str) -> DataFrame:
+    """The conductance matrix of each mesh for the default sheet conductance, duplicates summed."""
+    c = corners(spark, folder)
+    c = c.select(*KEY, *[F.col(f"{a}{i}").alias(f"{b}{j}") for i, j in zip("012", "abc") for a, b in (("v", "n"), ("p", "p"))], F.lit(el.SIGMA * el.COPPER).alias("conductance"))
+    return la.coo_sum(la.laplacian_stamps(c, KEY, KEY), KEY)
+
+
+def potentials(spark: SparkSession, folder: str) -> DataFrame:
+    """The potential of each vertex as a vector, 0 where it is null, NaN or infinite."""
+    v = solution_tables(spark, folder, {"vertex"})["vertex"].filter("role = 'meshes'")
+    return v.select(*KEY, F.col("vertex_no").alias("row"), F.coalesce(el.sanitized(F.col("potential")), F.lit(0.0)).alias("value"))
+
+
+def laplacian(spark: SparkSession, folder: str) -> DataFrame:
+    """The conductance matrix of each mesh in coordinates."""
+    return conductances(spark, folder).withColumn("value", r(F.col("value"), 3))
 
 
 def node_currents(spark: SparkSession, folder: str) -> DataFrame:
-    """Sparse matrix times vector: the current out of each vertex, rounded; per mesh its norm."""
-    key = ["solution_id", "layer_no", "mesh_no"]
-    v = solution_tables(spark, folder, {"vertex"})["vertex"].filter("role = 'meshes'").select(*key, F.col("vertex_no").alias("col"), F.coalesce(el.sanitized(F.col("potential")), F.lit(0.0)).alias("u"))
-    product = laplacian(spark, folder).join(v, [*key, "col"]).groupBy(*key, "row").agg(F.sum(F.col("value") * F.col("u")).alias("y"))
-    return product.groupBy(*key).agg(F.count("*").alias("rows"), r(F.sqrt(F.sum(F.col("y") * F.col("y"))), 2).alias("norm"))
+    """Sparse matrix times vector: the currents out of the vertices, per mesh their number and norm."""
+    product = la.spmv(conductances(spark, folder), potentials(spark, folder), KEY)
+    return product.groupBy(*KEY).agg(F.count("*").alias("rows"), r(F.sqrt(F.sum(F.col("value") * F.col("value"))), 2).alias("norm"))
 
 
 QUERIES = {

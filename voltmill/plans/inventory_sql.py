@@ -53,7 +53,7 @@ m as (select *, max(case when r = n // 2 + 1 then abs(w) end) over (partition by
 cl as (select solution_id, layer_no, mesh_no, a, b, sign(w) * greatest(m / 1e4, least(m * 1e4, abs(w))) * (5.95e4::double * 0.035::double) w from m),
 coo as (select solution_id, layer_no, mesh_no, a "row", a col, w "value" from cl union all select solution_id, layer_no, mesh_no, b, b, w from cl union all
         select solution_id, layer_no, mesh_no, a, b, -w from cl union all select solution_id, layer_no, mesh_no, b, a, -w from cl),
-lap as (select solution_id, layer_no, mesh_no, "row", col, round(sum("value"), 3) "value" from coo group by all)
+lap as (select solution_id, layer_no, mesh_no, "row", col, sum("value") "value" from coo group by all)
 """
 )
 
@@ -65,7 +65,7 @@ ORACLES = {
     "layer_spellings": "select regexp_replace(lower(name), '[^a-z0-9]', '', 'g') normal, count(distinct name) spellings, count(*) uses from (select unnest(layer_names) as name from vias) where name is not null group by 1",
     "valid_via_layers": _CTE + """select via_id, len(l) layer_count, array_to_string(l, ',') layers from (select via_id, list_sort(list_intersect(names, ln)) l from v, (select list(ln) ln from lm)) where len(l) > 0""",
     "shapes_of_size": _CTE + "select nullif(lower(trim(layer_name)), '') layer, count(*) shapes, count(*) filter (where area_mm2 >= 0.01) kept from sh group by 1",
-    "smd_terminals": _CTE + f"select board_id, count(*) smd, round(min(x), 4) min_x, round(max(x), 4) max_x from e where not coalesce(is_tht, false) and {_FINITE} group by 1",
+    "smd_terminals": _CTE + f"select board_id, kind, owner_id, side, pad_no, round(x, 6) x, round(y, 6) y from e where not coalesce(is_tht, false) and {_FINITE}",
     "distinct_terminals": _CTE + "select kind, owner_id, count(*) terminals from (select distinct kind, owner_id, ln, round(x, 6) x, round(y, 6) y from e) group by all",
     "named_pours": _CTE + "select pour_id, coalesce(layer_name, '') layer_name, coalesce(nullif(conductance, 0), 1) conductance from c left join lm on c.layer = lm.layer_id",
     "matched_rails": _CTE + """select board_id, net, coalesce(s, 0) sources, coalesce(l, 0) loads, case when l is null then 'source only' when s is null then 'load only' else 'matched' end status
@@ -74,10 +74,11 @@ ORACLES = {
       select v.via_id, p.pad_id, round(sqrt((v.x - px) * (v.x - px) + (v.y - py) * (v.y - py)), 6) d, row_number() over (partition by v.via_id order by round(sqrt((v.x - px) * (v.x - px) + (v.y - py) * (v.y - py)), 6), p.pad_id) k
       from v join p on v.board_id = p.board_id and v.net = p.net and v.net <> '' where {_FINITE.replace('x', 'v.x').replace('y ', 'v.y ').replace('(y', '(v.y')} and {_FAR.format('px')} and {_FAR.format('py')}
         and sqrt((v.x - px) * (v.x - px) + (v.y - py) * (v.y - py)) <= 1) where k = 1""",
-    "exempt_drills": _CTE + f"""select board_id, count(*) drills from v where {_FINITE} and not exists (select 1 from p where p.board_id = v.board_id and not coalesce(is_tht, false)
-      and sqrt((v.x - px) * (v.x - px) + (v.y - py) * (v.y - py)) <= 0.05) group by 1""",
-    "pin_pads": _CTE + f"""select pad_id, min(owner_id) owner_id, count(*) terminals from p join (select board_id, round(x, 2) kx, round(y, 2) ky, owner_id from e where {_FINITE}) e
-      on p.board_id = e.board_id and round(px, 2) = kx and round(py, 2) = ky group by 1""",
+    "exempt_drills": _CTE + f"""select via_id, board_id, x, y, hole_diameter from v where {_FINITE} and not exists (select 1 from p where p.board_id = v.board_id and not coalesce(is_tht, false)
+      and sqrt((v.x - px) * (v.x - px) + (v.y - py) * (v.y - py)) <= 0.05)""",
+    "pin_pads": _CTE + f"""select board_id, kx, ky, min(pad_id) pad_id, min(ref_des) ref_des from (
+      select board_id, floor(px * 100 + 0.5)::bigint kx, floor(py * 100 + 0.5)::bigint ky, pad_id, null ref_des from p where {_FAR.format('px')} and {_FAR.format('py')} union all
+      select e.board_id, floor(x * 100 + 0.5)::bigint, floor(y * 100 + 0.5)::bigint, null, nullif(coalesce(so.ref_des, lo.ref_des), '') from e left join so on kind = 'source' and source_id = owner_id left join lo on kind = 'load' and load_id = owner_id where {_FINITE}) group by 1, 2, 3""",
     "pads_in_pours": _CTE + f""", rings as (select pour_id, board_id, ln, 0 ring, vertices r from c join lm on c.layer = lm.layer_id where len(vertices) >= 3 union all
         select pour_id, board_id, ln, i, holes[i] from (select *, unnest(range(1, len(holes) + 1)) i from c join lm on c.layer = lm.layer_id)),
       ed as (select pour_id, board_id, ln, ring, r[i].x ax, r[i].y ay, r[i % len(r) + 1].x bx, r[i % len(r) + 1].y b_y from (select *, unnest(range(1, len(r) + 1)) i from rings where len(r) >= 3)),
@@ -90,10 +91,10 @@ ORACLES = {
       from ga left join hz using (pour_id) where n >= 3""",
     "board_bounds": _CTE + f"""select board_id, round(min(x), 4) min_x, round(-min(-x), 4) max_x, round(min(y), 4) min_y, round(-min(-y), 4) max_y
       from (select board_id, x, y from v where {_FINITE} union all select board_id, px, py from (select distinct board_id, x, y, px, py from p where {_FINITE}) union all select board_id, ax, ay from vx where {_FAR.format('ax')} and {_FAR.format('ay')}) group by 1""",
-    "pour_coverage": _CTE + "select nullif(c.net, '') net, c.layer, count(*) pours, round(sum(case when len(vertices) >= 3 then abs(a) when vertices is not null then 0 end), 2) area from c left join ga using (pour_id) group by 1, 2",
+    "pour_coverage": _CTE + "select c.board_id, nullif(c.net, '') net, c.layer, count(*) pours, round(sum(case when len(vertices) >= 3 then abs(a) when vertices is not null then 0 end), 2) area from c left join ga using (pour_id) group by 1, 2, 3",
     "pads_by_net": _CTE + "select board_id, nullif(net, '') net, count(*) pads, count(*) filter (where is_tht) tht from p group by 1, 2",
     "rail_currents": _CTE + f"select board_id, net, round(sum(case when load_current > 0 then load_current else 0 end), 4) as \"current\", round(sum(abs(load_current)), 4) total from lo where net <> '' and {_FAR.format('load_current')} group by 1, 2",
-    "smallest_holes": _CTE + "select net, layer, min(hole_diameter) hole from (select net, hole_diameter, unnest(names) layer from v where hole_diameter > 0 and net <> '') group by all",
+    "smallest_holes": _CTE + "select board_id, net, layer, min(hole_diameter) hole from (select board_id, net, hole_diameter, unnest(names) layer from v where hole_diameter > 0 and net <> '') group by all",
     "median_extents": _CTE + """select board_id, side from (select board_id, side, row_number() over (partition by board_id order by side) k, count(*) over (partition by board_id) n
       from (select board_id, round(greatest(x1 - x0, y1 - y0) * 100)::bigint side from ga)) where k = n // 2 + 1""",
     "via_net_votes": _CTE + """, vo as (select via_id, v.board_id, label net, count(*) n from (select via_id, board_id, unnest(landing_ids) shape_id from v) v join sh using (shape_id) where label is not null group by all)
@@ -102,8 +103,8 @@ ORACLES = {
       from (select board_id, net from p union all select board_id, net from v union all select board_id, net from c)
       where lower(trim(net)) in ('gnd', 'ground', '0', 'earth', 'vss', 'vee', 'agnd', 'dgnd', 'sgnd', 'pgnd') or regexp_matches(lower(trim(net)), 'gnd|ground|vss') group by 1, 2) where k = 1""",
     "voltage_ranges": _CTE + """, mo as (select distinct on (mesh_id) * from mesh_outputs where net <> ''),
-      mv as (select mesh_id, nullif(lower(trim(layer_name)), '') layer, net, list_filter(list_transform(potentials, lambda x: case when isnan(x) or abs(x) = 'inf'::double then 0 else x end), lambda x: x is not null) q from mo)
-      select layer, net, count(*) meshes, min(list_min(q)) low, max(list_max(q)) high from mv group by 1, 2""",
+      mv as (select run_id, board_id, mesh_id, nullif(lower(trim(layer_name)), '') layer, net, list_filter(list_transform(potentials, lambda x: case when isnan(x) or abs(x) = 'inf'::double then 0 else x end), lambda x: x is not null) q from mo)
+      select run_id, board_id, layer, net, count(*) meshes, min(list_min(q)) low, max(list_max(q)) high from mv group by 1, 2, 3, 4""",
     "element_counts": _CTE + """select board_id, kind, n from (select board_id, 'VS' kind, count(*) n from so group by 1 union all select board_id, 'CS', count(*) from lo group by 1 union all
       select board_id, 'R', sum(greatest(coalesce(len(names), 0) - 1, 0))::bigint from v group by 1) where n > 0""",
     "layer_stack": _CTE + "select layer_id, layer, position from st",
@@ -123,19 +124,20 @@ ORACLES = {
       two as (select a, b from ok union select b, a from ok), reach as (select a node, b seen from two union select r.node, w.b from reach r join two w on r.seen = w.a),
       votes as (select node, max(label) vote from (select node, seen from reach union select node, node from reach) join sh on sh.shape_id = seen group by node having min(label) = max(label))
       select shape_id, label net_label, coalesce(label, vote) resolved from sh left join votes on node = shape_id""",
-    "capacity_checks": _CTE + f""", cu as (select net, sum(i) i from (select board_id, net, round(sum(case when load_current > 0 then load_current else 0 end), 4) i from lo where net <> '' and {_FAR.format('load_current')} group by 1, 2) group by 1 having sum(i) > 0),
-      wi as (select net, layer, min(diameter) w from (select net, diameter, unnest(names) layer from v where diameter > 0 and net <> '') group by all),
-      li as (select net, layer, i, case when regexp_matches(layer, 'top|bottom') then 0.048 else 0.024 end * pow(10, 0.44) * pow(w / 0.0254 * (conductance / 5.95e4 / (1.378 * 0.0254)) * 1.378, 0.725) lim from cu join wi using (net) join st using (layer))
-      select net, layer, round(i, 4) as "current", round(lim, 4) capacity, round(i / lim, 3) utilization, i / lim > 1 exceeded from li where i / lim > 0.8""",
+    "capacity_checks": _CTE + f""", cu as (select board_id, net, round(sum(case when load_current > 0 then load_current else 0 end), 4) i from lo where net <> '' and {_FAR.format('load_current')} group by 1, 2),
+      wi as (select board_id, net, layer, min(diameter) w from (select board_id, net, diameter, unnest(names) layer from v where diameter > 0 and net <> '') group by all),
+      li as (select board_id, net, layer, i, case when regexp_matches(layer, 'top|bottom') then 0.048 else 0.024 end * pow(10, 0.44) * pow(w / 0.0254 * (conductance / 5.95e4 / (1.378 * 0.0254)) * 1.378, 0.725) lim from cu join wi using (board_id, net) join st using (layer) where i > 0)
+      select board_id, net, layer, round(i, 4) as "current", round(lim, 4) capacity, round(i / lim, 3) utilization, i / lim > 1 exceeded from li where i / lim > 0.8""",
     "via_positions": _CTE + f"select via_id, x, y, round(greatest(case when coalesce(hole_diameter, 0) <= 0 then 0.3 else hole_diameter end + 0.4, 0.5), 4) diameter, round(case when coalesce(hole_diameter, 0) <= 0 then 0.3 else hole_diameter end, 4) hole from v where {_FINITE}",
-    "connection_points": _CTE + "select board_id, ln layer, kind, count(*) points from e where ln is not null group by 1, 2, 3",
+    "connection_points": _CTE + f"""select board_id, ln layer, kind = 'source' is_source, owner_id, side, pad_no, round(x, 6) x, round(y, 6) y,
+      round(case when coalesce(is_tht, false) and coalesce(hole_diameter, 0) > 0 then hole_diameter else 0.5 end, 6) diameter from e where ln is not null and {_FINITE}""",
     "triangle_fields": CORNERS + "select solution_id, layer_no, mesh_no, triangle_no, round(abs(det) / 2, 4) area, round(5.95e4::double * 0.035::double * (gx * gx + gy * gy), 3) as power, round(-5.95e4::double * 0.035::double * gx, 3) jx, round(-5.95e4::double * 0.035::double * gy, 3) jy from g",
     "mesh_quality": CORNERS + f"""select solution_id, layer_no, mesh_no, count(*) triangles, round(sum(abs(det) / 2), 3) area, round(max(abs(det) / 2), 4) largest, count(*) filter (where greatest(ab, bc, ca) / least(ab, bc, ca) > 5) thin,
       count(*) filter (where least({_ANGLE.format(u='ab', v='ca', w='bc')}, {_ANGLE.format(u='ab', v='bc', w='ca')}, {_ANGLE.format(u='bc', v='ca', w='ab')}) < 10) sharp from d group by 1, 2, 3""",
     "boundary_edges": _MESH + """, ed as (select solution_id, layer_no, mesh_no, least(v0, v1) a, greatest(v0, v1) b from triangles where "role" = 'meshes' union all
       select solution_id, layer_no, mesh_no, least(v1, v2), greatest(v1, v2) from triangles where "role" = 'meshes' union all select solution_id, layer_no, mesh_no, least(v2, v0), greatest(v2, v0) from triangles where "role" = 'meshes')
       select solution_id, layer_no, mesh_no, a, b from ed group by all having count(*) = 1""",
-    "laplacian": _LAPLACE + "select * from lap",
+    "laplacian": _LAPLACE + """select solution_id, layer_no, mesh_no, "row", col, round("value", 3) "value" from lap""",
     "node_currents": _LAPLACE + """, y as (select l.solution_id, l.layer_no, l.mesh_no, "row", sum("value" * coalesce(potential, 0)) y from lap l join vv on vv.solution_id = l.solution_id and vv.layer_no = l.layer_no and vv.mesh_no = l.mesh_no and vv.vertex_no = l.col group by all)
       select solution_id, layer_no, mesh_no, count(*) as "rows", round(sqrt(sum(y * y)), 2) norm from y group by 1, 2, 3""",
 }

@@ -41,16 +41,23 @@ def mesh_loops(spark: SparkSession, folder: str) -> DataFrame:
     return ends.groupBy(*MESH).agg((F.sum("n") / 2).cast("long").alias("edges"), F.count("*").alias("vertices"), F.count_if(F.col("n") > 2).alias("crossings"))
 
 
+def ringed_pours(spark: SparkSession, folder: str) -> DataFrame:
+    """Pours with their outline, counter-clockwise, and holes, clockwise, as ``rings``; those without outline are left
+    out, as are holes of fewer than three points."""
+    pours = once_per_key(table(spark, folder, "copper_pours"), "pour_id", "board_id", "net", "layer", "vertices", "holes").filter("size(vertices) >= 3")
+    holes = F.transform(F.filter(F.coalesce("holes", F.array()), lambda h: F.size(h) >= 3), lambda h: geo.oriented(h, hole=True))
+    return pours.select("pour_id", "board_id", known("net").alias("net"), "layer", F.concat(F.array(geo.oriented("vertices")), holes).alias("rings"))
+
+
 def pour_widths(spark: SparkSession, folder: str) -> DataFrame:
-    """Estimated least width of the pours of a net on a layer."""
-    pours = once_per_key(table(spark, folder, "copper_pours"), "pour_id", "net", "layer", "vertices").filter(known("net").isNotNull() & (F.size("vertices") >= 3))
-    return trace_widths(pours.select("net", "layer", F.array("vertices").alias("rings")), ["net", "layer"], "rings").withColumn("width", F.round("width", 4))
+    """Estimated least width of the pours of a net on a layer of a board, over outlines and holes."""
+    pours = ringed_pours(spark, folder).filter("net is not null")
+    return trace_widths(pours, ["board_id", "net", "layer"], "rings").withColumn("width", F.round("width", 4))
 
 
 def merged_pours(spark: SparkSession, folder: str) -> DataFrame:
     """Pours of a net on a layer of a board as disjoint polygons: their number, area and holes."""
-    pours = once_per_key(table(spark, folder, "copper_pours"), "pour_id", "board_id", "net", "layer", "vertices").filter("size(vertices) >= 3")
-    merged = combine_groups(pours.select("board_id", known("net").alias("net"), "layer", F.array("vertices").alias("rings")), ["board_id", "net", "layer"])
+    merged = combine_groups(ringed_pours(spark, folder), ["board_id", "net", "layer"])
     return merged.groupBy("board_id", "net", "layer").agg(F.count("*").alias("polygons"), F.round(F.sum(geo.polygon_area("rings")), 3).alias("area"), F.sum(F.size("rings") - 1).alias("holes"))
 
 
