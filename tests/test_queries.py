@@ -5,13 +5,14 @@ import os
 
 import pytest
 
-from voltmill.plans import board_queries, inventory_queries, inventory_sql, mesh_queries
+from voltmill.plans import board_queries, copper_queries, inventory_queries, inventory_sql, mesh_queries
 
 FOLDER = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data here")
-QUERIES = board_queries.QUERIES | inventory_queries.QUERIES | mesh_queries.QUERIES
-SQL = board_queries.ORACLES | inventory_sql.ORACLES | mesh_queries.ORACLES
+MODULES = (board_queries, copper_queries, inventory_queries, mesh_queries)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+SQL = inventory_sql.ORACLES | {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
 
 
 def connect():

@@ -26,7 +26,8 @@ ga as (select pour_id, board_id, net, layer, sum(ax * b_y - bx * ay) / 2 a, sum(
 st as (select layer_id, ln layer, conductance, row_number() over (order by case when layer_id = 2 then 1000000 else layer_id end) - 1 as position from lm)
 """
 
-_FAR = "abs({0}) <> 'inf'::double and not isnan({0}) and {0} is not null"
+# As text, since statistics of the files, which leave NaN out, would fold a comparison of numbers.
+_FAR = "{0}::varchar not in ('nan', 'inf', '-inf')"
 _FINITE = f"{_FAR.format('x')} and {_FAR.format('y')}"
 _MESH = _BOARD["p2_triangles"].removesuffix("select * from triangles")
 CORNERS = (
@@ -72,12 +73,12 @@ ORACLES = {
       from (select board_id, net, count(*) s from so where net <> '' and board_id is not null group by all) full join (select board_id, net, count(*) l from lo where net <> '' and board_id is not null group by all) using (board_id, net)""",
     "nearest_pads": _CTE + f"""select via_id, pad_id, d distance from (
       select v.via_id, p.pad_id, round(sqrt((v.x - px) * (v.x - px) + (v.y - py) * (v.y - py)), 6) d, row_number() over (partition by v.via_id order by round(sqrt((v.x - px) * (v.x - px) + (v.y - py) * (v.y - py)), 6), p.pad_id) k
-      from v join p on v.board_id = p.board_id and v.net = p.net and v.net <> '' where {_FINITE.replace('x', 'v.x').replace('y ', 'v.y ').replace('(y', '(v.y')} and {_FAR.format('px')} and {_FAR.format('py')}
+      from v join p on v.board_id = p.board_id and v.net = p.net and v.net <> '' where {_FAR.format('v.x')} and {_FAR.format('v.y')} and {_FAR.format('px')} and {_FAR.format('py')}
         and sqrt((v.x - px) * (v.x - px) + (v.y - py) * (v.y - py)) <= 1) where k = 1""",
     "exempt_drills": _CTE + f"""select via_id, board_id, x, y, hole_diameter from v where {_FINITE} and not exists (select 1 from p where p.board_id = v.board_id and not coalesce(is_tht, false)
       and sqrt((v.x - px) * (v.x - px) + (v.y - py) * (v.y - py)) <= 0.05)""",
     "pin_pads": _CTE + f"""select board_id, kx, ky, min(pad_id) pad_id, min(ref_des) ref_des from (
-      select board_id, floor(px * 100 + 0.5)::bigint kx, floor(py * 100 + 0.5)::bigint ky, pad_id, null ref_des from p where {_FAR.format('px')} and {_FAR.format('py')} union all
+      select board_id, floor(px * 100 + 0.5)::bigint kx, floor(py * 100 + 0.5)::bigint ky, pad_id, null ref_des from p where {_FINITE} union all
       select e.board_id, floor(x * 100 + 0.5)::bigint, floor(y * 100 + 0.5)::bigint, null, nullif(coalesce(so.ref_des, lo.ref_des), '') from e left join so on kind = 'source' and source_id = owner_id left join lo on kind = 'load' and load_id = owner_id where {_FINITE}) group by 1, 2, 3""",
     "pads_in_pours": _CTE + f""", rings as (select pour_id, board_id, ln, 0 ring, vertices r from c join lm on c.layer = lm.layer_id where len(vertices) >= 3 union all
         select pour_id, board_id, ln, i, holes[i] from (select *, unnest(range(1, len(holes) + 1)) i from c join lm on c.layer = lm.layer_id)),
