@@ -19,13 +19,17 @@ SCHEMA = f"""struct<project_name:string, gnd_net:string, temp_rise:double,
  copper_pours:array<struct<net:string,layer:int,vertices:array<{POINT}>,holes:array<array<{POINT}>>>>>"""
 
 
-def read_configs(spark: SparkSession, path: str) -> DataFrame:
-    """``(run, config, bounds)`` of JSON files, one document each; ``run`` is the file name. Text that is no JSON has a null
-    config. ``bounds`` is the box the editor gives, in the first member whose name ends with ``_bounds``."""
+def parse_configs(texts: DataFrame, bounds_member: str = "bounds") -> DataFrame:
+    """``(run, config, bounds)`` of ``(run, value)``, one JSON document each. Text that is no JSON has a null config;
+    ``bounds`` is the box the editor gives in the member ``bounds_member``."""
+    bounds = F.from_json("value", f"struct<`{bounds_member}`:{BOUNDS}>").getField(bounds_member)
+    return texts.select("run", F.from_json("value", SCHEMA).alias("config"), bounds.alias("bounds"))
+
+
+def read_configs(spark: SparkSession, path: str, bounds_member: str = "bounds") -> DataFrame:
+    """``parse_configs`` of JSON files; ``run`` is the file name."""
     texts = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("run"), "value")
-    members = F.map_entries(F.from_json("value", "map<string,string>"))
-    bounds = F.get(F.filter(members, lambda m: F.lower(m.key).endswith("_bounds")), F.lit(0)).value
-    return texts.select("run", F.from_json("value", SCHEMA).alias("config"), F.from_json(bounds, BOUNDS).alias("bounds"))
+    return parse_configs(texts, bounds_member)
 
 
 def config_tables(configs: DataFrame) -> dict[str, DataFrame]:

@@ -104,11 +104,16 @@ def decoded_rings(paths: pd.Series) -> pd.Series:
     return paths.map(lambda t: [[{"x": x * MIL, "y": y * MIL} for x, y in ring] for ring in path_rings(t)])
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("board"), "value")
+def parse_snapshots(texts: DataFrame) -> DataFrame:
+    """``(board, s)`` of ``(board, value)``; text that is no JSON gives no row."""
     return texts.select("board", F.from_json("value", SNAPSHOT).alias("s")).filter("s is not null")
 
 
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_snapshots`` of JSON files; ``board`` is the file name."""
+    return parse_snapshots(spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("board"), "value"))
+
+
 def snapshot_tables(snapshots: DataFrame) -> dict[str, DataFrame]:
     """Vias, tracks, pads and pours in millimetres. Rows without position are dropped; the first of equal ones counts."""
     rows = lambda name: snapshots.select("board", F.posexplode(f"s.{name}").alias("no", "m")).select("board", "no", "m.*")
