@@ -160,7 +160,7 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
 def snapshot_vias(spark: SparkSession, folder: str) -> DataFrame:
     """Vias of the snapshots in millimetres, one for each net and position to two digits, counted per board."""
     found = editor.snapshot_tables(editor.parse_snapshots(snapshots(spark, folder)))["vias"]
-    return found.groupBy("board").agg(F.count("*").alias("vias"), r(F.min("x"), 3).alias("min_x"), r(F.max("y"), 3).alias("max_y"))
+    return found.groupBy("board").agg(F.count("*").alias("vias"), r(F.min("x")).alias("min_x"), r(F.max("y")).alias("max_y"))
 
 
 def snapshot_pours(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,6 +197,6 @@ ORACLES = {
     "config_targets": _RUNS + "select board_id::varchar run, net from tn union select board_id::varchar, 'GND' from bo where board_id is not null",
     "config_runs": _RUNS + f"""select board_id::varchar run, 'GND' gnd_net, 10.0::double temp_rise, 4.0::double width, 6::bigint layers, (select count(*) from v where v.board_id = bo.board_id and {_FINITE}) vias,
       (select count(*) from so where so.board_id = bo.board_id) sources, (select count(*) from lo where lo.board_id = bo.board_id) loads from bo where board_id is not null""",
-    "snapshot_vias": _CTE + f"select board_id::varchar board, count(*) vias, round(min(x), 3) min_x, round(-min(-y), 3) max_y from (select board_id, coalesce(net, '') net, round(x, 2) kx, round(y, 2) ky, min(x) x, min(y) y from v where {_FINITE} group by all) group by 1",
+    "snapshot_vias": _CTE + f"select board_id::varchar board, count(*) vias, round(min(x), 4) min_x, round(-min(-y), 4) max_y from (select board_id, coalesce(net, '') net, round(x, 2) kx, round(y, 2) ky, min(x) x, min(y) y from v where {_FINITE} group by all) group by 1",
     "snapshot_pours": _CTE + "select board_id::varchar board, layer, count(*) pours, round(sum(abs(a)), 2) area, sum(n)::bigint points from ga where n >= 3 group by 1, 2",
 }
