@@ -5,12 +5,12 @@ import os
 
 import pytest
 
-from voltmill.plans import board_queries, copper_queries, inventory_queries, inventory_sql, mesh_queries, network_queries, source_queries
+from voltmill.plans import analysis_queries, board_queries, copper_queries, inventory_queries, inventory_sql, mesh_queries, network_queries, source_queries
 
 FOLDER = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data here")
-MODULES = (board_queries, copper_queries, inventory_queries, mesh_queries, network_queries, source_queries)
+MODULES = (analysis_queries, board_queries, copper_queries, inventory_queries, mesh_queries, network_queries, source_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = inventory_sql.ORACLES | {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
 

@@ -87,6 +87,12 @@ def mesh_size(area: float, coarsen: float = 1.0) -> tuple[float, float]:
     return min(size * coarsen, 80.0), angle
 
 
+def mesh_length(area: Column) -> Column:
+    """The edge length of ``mesh_size`` for a column of copper areas."""
+    small = F.least(F.lit(1.2) * F.least(F.sqrt(F.lit(30_000.0) / F.greatest(area, F.lit(100.0))), F.lit(4.0)), F.lit(2.0))
+    return F.when(area < 30_000, small).otherwise(F.least(F.greatest(F.lit(1.2) * F.sqrt(area / 30_000), F.lit(1.5)), F.lit(5.0)))
+
+
 def coarsened(size: float, angle: float, vertices: int, most: int = 60_000) -> tuple[float, float]:
     """A coarser setting for a mesh that has too many vertices."""
     return min(size * min(1.5 * math.sqrt(vertices / most), 6.0), 80.0), angle - 3.0
