@@ -1,6 +1,6 @@
 import json
 
-from voltmill.streaming.ingest import arrivals, arrivals_per_day, first_deliveries, shred_stream
+from voltmill.streaming.ingest import append_once, arrivals, arrivals_per_day, first_deliveries, shred_stream
 
 SCHEMA = "solution_id long, payload string, loaded_at timestamp"
 
@@ -21,3 +21,12 @@ def test_days(spark, tmp_path):
     query = arrivals_per_day(arrivals(spark, str(tmp_path / "in"), SCHEMA), "loaded_at").writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r.rows for r in spark.table("days").collect()) == [1, 2]
+
+
+def test_late_first_deliveries_are_kept(spark, tmp_path):
+    """A backfill in reverse order: rows far behind all seen before, repeats among them, null keys."""
+    for rows in ([(1, "a", "2024-06-01"), (2, "b", "2024-06-02"), (None, "n", "2024-06-01")], [(1, "a", "2023-01-01"), (3, "c", "2020-01-01")], [(3, "c", "2024-01-01"), (4, "d", "2019-01-01"), (None, "n", "2018-01-01")]):
+        spark.createDataFrame(rows, "solution_id long, payload string, t string").selectExpr("solution_id", "payload", "timestamp(t) as loaded_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    append_once(arrivals(spark, str(tmp_path / "in"), SCHEMA, 1), "solution_id", out, str(tmp_path / "state")).awaitTermination(120)
+    assert sorted((r.solution_id or 0, r.payload) for r in spark.read.parquet(out).collect()) == [(0, "n"), (0, "n"), (1, "a"), (2, "b"), (3, "c"), (4, "d")]

@@ -302,7 +302,8 @@ def near_or_inside(points: DataFrame, sites: DataFrame, regions: DataFrame, dist
     box = [f(c).alias(f"{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))]
     spaces = Stage(everywhere.groupBy("space").agg(F.count("*").alias("n"), *box), "spaces", {"rows": F.sum("n")})
     rows = spaces.seen["rows"] or 0
-    trees, grids = _sample_trees(everywhere, rows), _grids(spaces.df)
+    one_tile = rows <= TILE_ROWS  # then no space has more rows, and no tile can be too full
+    trees, grids = ({}, None) if one_tile else (_sample_trees(everywhere, rows), _grids(spaces.df))
     spaces.drop()
     bundles = max(1, math.ceil(rows / BUNDLE_ROWS))
     tasks = max(1, min(math.ceil(rows / TASK_ROWS), MOST_TASKS))
@@ -310,9 +311,10 @@ def near_or_inside(points: DataFrame, sites: DataFrame, regions: DataFrame, dist
     p = points.select("space", "id", *[F.col(c).alias(a) for c, a in (("x", "x0"), ("y", "y0"), ("x", "x1"), ("y", "y1"))], F.lit(0).alias("kind"), "tags")
     s = sites.select("space", "id", (F.col("x") - d).alias("x0"), (F.col("y") - d).alias("y0"), (F.col("x") + d).alias("x1"), (F.col("y") + d).alias("y1"), F.lit(1).alias("kind"), F.array("tag").alias("tags"), F.array("x").alias("vx"), F.array("y").alias("vy"))
     r = regions.withColumn("kind", F.lit(2)).withColumn("tags", F.array("tag")).drop("tag")
-    lines = _with_tiles(p, trees, grids)
-    lines = lines.unionByName(_with_tiles(s, trees, grids), allowMissingColumns=True).unionByName(_with_tiles(r, trees, grids), allowMissingColumns=True)
-    lines = _salted(lines).withColumn("bundle", F.pmod(F.xxhash64("space", "tile", "salt"), F.lit(bundles)).cast("int"))
+    tiled = (lambda df: df.withColumn("tile", F.lit(0).cast("long"))) if one_tile else (lambda df: _with_tiles(df, trees, grids))
+    lines = tiled(p).unionByName(tiled(s), allowMissingColumns=True).unionByName(tiled(r), allowMissingColumns=True)
+    lines = lines.withColumn("salt", F.lit(0).cast("long")) if one_tile else _salted(lines)
+    lines = lines.withColumn("bundle", F.pmod(F.xxhash64("space", "tile", "salt"), F.lit(bundles)).cast("int"))
 
     def match(batch: pa.Table) -> pa.Table:
         return match_bundle(batch, distance)

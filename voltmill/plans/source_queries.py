@@ -184,7 +184,7 @@ _RUNS = _CTE + ", bo as (select board_id from so union select board_id from lo),
 
 ORACLES = {
     "archive_nets": _FEATURES + "select board_id::varchar board, layer, feature_no, trim(net) net from nf where net is not null",
-    "archive_rotations": _CTE + f"select board_id::varchar board, round(px, 6) x, round(py, 6) y, min(pad_id % 360)::double degrees from p where {_FINITE} group by 1, 2, 3",
+    "archive_rotations": _CTE + f"select board_id::varchar board, round(px, 6) x, round(py, 6) y, arg_max(pad_id % 360, pad_id)::double degrees from p where {_FINITE} group by 1, 2, 3",
     "archive_tools": _CTE + f", {_HOLES} select board_id::varchar board, unnest([1, 2])::integer tool_no, unnest(['VIA', 'PLATED']) as \"type\" from (select distinct board_id from vh)",
     "archive_drills": _CTE + f", {_HOLES} select board_id::varchar board, round(x, 4) x, round(y, 4) y, round(hole_diameter, 6) diameter, via_type is not null is_via from vh",
     "archive_features": _FEATURES + "select board_id::varchar board, layer, feature_no, case when k = 0 then 'S' else 'P' end kind, case when k = 1 then 'rect' end symbol, case when k = 1 then 0.5::double end w, case when k = 1 then 0.3::double end h from nf",

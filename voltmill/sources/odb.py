@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ..functions import electrical as el
 from ..functions import geometry as geo
 
+#: How far a pad may be from the component pin whose rotation it takes, in the archive's unit.
+PIN_REACH = 0.01
 FILES = "board string, path string, content string"
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -69,22 +71,23 @@ def net_references(files: DataFrame) -> DataFrame:
     """``(board, layer, feature_no, net)`` of the copper features each net names in ``eda/data``.
 
     ``LYR`` lines list the layers, ``NET`` begins a net (attributes behind ``;`` are cut), ``FID C l f`` refers to
-    feature f of layer l. A layer number without a layer is skipped.
+    feature f of layer l; of several nets the last one counts. A layer number without a layer is skipped.
     """
     rows = lines(find_files(files, "/eda/", "/data")).withColumn("word", F.split("line", r"\s+"))
     rows = rows.withColumn("net", _carried(F.when(F.col("word")[0] == "NET", F.trim(F.split(F.expr("substring(line, 5)"), ";")[0])), ["board"]))
     layers = rows.filter("word[0] = 'LYR'").select("board", "line_no", F.posexplode(F.slice("word", F.lit(2), F.size("word") - 1)).alias("at", "layer"))
     layers = layers.withColumn("layer_no", F.row_number().over(Window.partitionBy("board").orderBy("line_no", "at")) - 1).select("board", "layer_no", "layer")
     refs = rows.filter("word[0] = 'FID' and get(word, 1) = 'C' and net is not null")
-    refs = refs.select("board", "net", F.get("word", F.lit(2)).try_cast("int").alias("layer_no"), F.get("word", F.lit(3)).try_cast("int").alias("feature_no")).dropna()
-    return refs.join(layers, ["board", "layer_no"]).groupBy("board", "layer", "feature_no").agg(F.max("net").alias("net"))
+    refs = refs.select("board", "line_no", "net", F.get("word", F.lit(2)).try_cast("int").alias("layer_no"), F.get("word", F.lit(3)).try_cast("int").alias("feature_no")).dropna()
+    return refs.join(layers, ["board", "layer_no"]).groupBy("board", "layer", "feature_no").agg(F.max_by("net", "line_no").alias("net"))
 
 
 def component_rotations(files: DataFrame) -> DataFrame:
-    """``(board, x, y, degrees)`` of the pins of component files."""
+    """``(board, x, y, degrees)`` of the pins of component files; of several at one place the last one counts."""
     rows = lines(files.filter("lower(path) like '%/components'")).withColumn("word", F.split("line", r"\s+")).filter("word[0] = 'TOP'")
     number = lambda i: F.get("word", F.lit(i)).try_cast("double")
-    return rows.select("board", number(2).alias("x"), number(3).alias("y"), number(4).alias("degrees")).dropna().groupBy("board", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")).agg(F.min("degrees").alias("degrees"))
+    pins = rows.select("board", F.struct("path", "line_no").alias("at"), number(2).alias("x"), number(3).alias("y"), number(4).alias("degrees")).dropna()
+    return pins.groupBy("board", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")).agg(F.max_by("degrees", "at").alias("degrees"))
 
 
 def tools(files: DataFrame) -> DataFrame:
@@ -172,7 +175,7 @@ def stroke(points: list[tuple[float, float]], width: float) -> list[tuple[float,
 def polygons(found: DataFrame, rotations: DataFrame | None = None) -> DataFrame:
     """``(board, layer, feature_no, part_no, rings)`` of features that give copper.
 
-    With ``rotations``, pads take that of the component pin at their place (to 6 digits), else none; without, their own.
+    With ``rotations``, pads take that of the nearest component pin within ``PIN_REACH``, else none; without, their own.
     """
     number = lambda i: F.get("fields", F.lit(i)).try_cast("double")
     drawn = found.filter("kind <> 'S' and symbol.kind is not null")
@@ -183,8 +186,13 @@ def polygons(found: DataFrame, rotations: DataFrame | None = None) -> DataFrame:
 
     pads = drawn.filter("kind = 'P' and get(fields, 4) = 'P'").select(*key, number(1).alias("px"), number(2).alias("py"), F.coalesce(number(5), F.lit(0.0)).alias("own"), "symbol").dropna(subset=["px", "py"])
     if rotations is not None:
-        turned = rotations.select(F.col("board").alias("rb"), F.col("x").alias("rx"), F.col("y").alias("ry"), "degrees")
-        pads = pads.join(turned, (F.col("board") == F.col("rb")) & (F.round("px", 6) == F.col("rx")) & (F.round("py", 6) == F.col("ry")), "left")
+        pads = pads.withColumn("_id", F.struct(*key))
+        cell = lambda c: F.floor(F.col(c) / PIN_REACH)
+        around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+        pins = rotations.select(F.col("board").alias("rb"), F.col("x").alias("rx"), F.col("y").alias("ry"), "degrees", cell("x").alias("cx"), cell("y").alias("cy"))
+        near = pads.select("_id", "board", "px", "py").withColumn("cx", around("px")).withColumn("cy", around("py")).join(pins.withColumnRenamed("rb", "board"), ["board", "cx", "cy"])
+        near = near.withColumn("d", F.round(F.hypot(F.col("px") - F.col("rx"), F.col("py") - F.col("ry")), 9)).filter(F.col("d") < PIN_REACH)
+        pads = pads.join(near.groupBy("_id").agg(F.min(F.struct("d", "degrees")).alias("n")).select("_id", "n.degrees"), "_id", "left").drop("_id")
     else:
         pads = pads.withColumn("degrees", F.col("own"))
     pads = pads.select(*key, F.array(geo.symbol_ring(F.col("symbol.kind"), F.col("px"), F.col("py"), F.col("symbol.w"), F.col("symbol.h"), F.col("symbol.r"), F.col("degrees"))).alias("rings"))
