@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voltmill.functions import geometry as geo
 from voltmill.sources.config import config_tables, read_configs, target_nets
-from voltmill.sources.editor import path_rings, read_snapshots, run_config, snapshot_tables
+from voltmill.sources.editor import fill_rings, path_rings, read_snapshots, run_config, snapshot_tables
 from voltmill.sources.odb import archive_files, board_polygons, drills, features, net_references, surface_rings
 
 FILES = {
@@ -60,7 +60,7 @@ def test_config(spark, tmp_path):
     body = {"project_name": "p", "editor_bounds": {"minX": 1, "maxX": 2.5}, "gnd_net": "GND", "layers": [{"name": "TopLayer", "conductance": 0, "layer_id": 1}], "sources": [{"net": "3V3", "voltage": 3.3, "pads": [pad, pad]}], "loads": [{"net": "3V3", "gnd_net": "AGND", "current": 0.5, "pads": [pad]}]}
     (tmp_path / "a.json").write_text(json.dumps(body))
     (tmp_path / "b.json").write_text("{broken")
-    tables = config_tables(read_configs(spark, str(tmp_path / "*.json")))
+    tables = config_tables(read_configs(spark, str(tmp_path / "*.json"), bounds_member="editor_bounds"))
     assert tables["terminals"].count() == 3 and tables["tracks"].count() == 0
     assert tables["layers"].first().conductance == 1.0 and tables["runs"].first().temp_rise == 10.0
     assert tables["runs"].first().bounds.maxX == 2.5
@@ -87,3 +87,11 @@ def test_snapshot_and_run_config(spark, tmp_path):
     assert config["gnd_net"] == "GND" and config["rails"][0]["current"] == pytest.approx(0.5)
     assert [x["layer_id"] for x in config["layers"]] == [1, 2] and config["layers"][0]["conductance"] == pytest.approx(2082.5)
     assert len(config["pads"]) == 1 and config["pads"][0]["is_tht"]
+
+
+def test_pieces_of_poured_copper():
+    assert fill_rings("[0, 0, 2, 0, 2, 1]", None, None) == [[(0.0, 0.0), (20.0, 0.0), (20.0, 10.0)]]
+    assert fill_rings("[[0,0,\"L\",9,0,9,9],[1,1,2,1,2,2]]", None, None)[1][0] == (10.0, 10.0)
+    assert fill_rings("[0, 0, 4, 0]", None, 2.0) == [[(0.0, 10.0), (40.0, 10.0), (40.0, -10.0), (0.0, -10.0)]]
+    assert fill_rings(None, [{"x": 0.0, "y": 0.0}, {"x": 0.0, "y": 5.0}], 2.0) == [[(-1.0, 0.0), (-1.0, 5.0), (1.0, 5.0), (1.0, 0.0)]]
+    assert fill_rings(None, [{"x": 0.0, "y": 0.0}, {"x": 0.0, "y": 5.0}], None) == fill_rings(None, None, 1.0) == fill_rings("broken", None, 1.0) == []

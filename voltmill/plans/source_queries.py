@@ -169,7 +169,26 @@ def snapshot_pours(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("board", "layer").agg(F.count("*").alias("pours"), r(F.sum(F.abs(geo.ring_area("vertices"))), 2).alias("area"), F.sum(F.size("vertices")).alias("points"))
 
 
-QUERIES = {f.__name__: f for f in (archive_nets, archive_rotations, archive_tools, archive_drills, archive_features, archive_polygons, found_files, config_terminals, config_targets, config_runs, snapshot_vias, snapshot_pours)}
+def poured_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Copper of pours as poured: those with cut-outs as one piece in the unit of poured copper, the others, which were
+    poured without any piece, by their border."""
+    path = lambda ring, unit: F.concat(F.lit("["), F.array_join(F.transform(ring, lambda p: F.concat(_text(p.x / MIL / unit), F.lit(","), _text(p.y / MIL / unit))), ","), F.lit("]"))
+    pours = ringed_pours(spark, folder).filter("net is not null").withColumn("id", _text(F.col("pour_id")))
+    piece = F.struct(F.concat(F.lit("["), F.array_join(F.transform("rings", lambda ring: path(ring, editor.POURED_UNIT)), ","), F.lit("]")).alias("path"))
+    fills = F.when(F.size("rings") > 1, F.array(piece)).otherwise(F.array().cast("array<struct<path:string>>"))
+    rows = pours.groupBy("board_id").agg(F.collect_list(F.struct("id", "net", "layer", path(F.get("rings", F.lit(0)), 1.0).alias("polygon"))).alias("pours"), F.collect_list(F.struct(F.col("id").alias("pour_id"), fills.alias("fills"))).alias("poured"))
+    found = editor.poured_copper(editor.parse_snapshots(rows.select(_text(F.col("board_id")).alias("board"), F.to_json(F.struct("pours", "poured")).alias("value"))))
+    return found.select("board", F.col("id").cast("long").alias("pour_id"), "net", "layer", "source", (F.size("rings") - 1).cast("long").alias("holes"), r(F.abs(geo.ring_area(F.get("rings", F.lit(0)))), 2).alias("area"))
+
+
+def outer_layers(spark: SparkSession, folder: str) -> DataFrame:
+    """The copper layers of every board that has vias, and which are outer ones."""
+    boards = once(spark, folder, "vias", "board_id").select(_text(F.col("board_id")).alias("board")).dropna().distinct()
+    layers = boards.crossJoin(F.broadcast(table(spark, folder, "layer_map").select("layer_id")))  # a fixed table
+    return editor.outer_layers(layers)
+
+
+QUERIES = {f.__name__: f for f in (archive_nets, archive_rotations, archive_tools, archive_drills, archive_features, archive_polygons, found_files, config_terminals, config_targets, config_runs, snapshot_vias, snapshot_pours, poured_pieces, outer_layers)}
 
 _FEATURES = (
     _CTE
@@ -199,4 +218,7 @@ ORACLES = {
       (select count(*) from so where so.board_id = bo.board_id) sources, (select count(*) from lo where lo.board_id = bo.board_id) loads from bo where board_id is not null""",
     "snapshot_vias": _CTE + f"select board_id::varchar board, count(*) vias, round(min(x), 4) min_x, round(-min(-y), 4) max_y from (select board_id, coalesce(net, '') net, round(x, 2) kx, round(y, 2) ky, min(x) x, min(y) y from v where {_FINITE} group by all) group by 1",
     "snapshot_pours": _CTE + "select board_id::varchar board, layer, count(*) pours, round(sum(abs(a)), 2) area, sum(n)::bigint points from ga where n >= 3 group by 1, 2",
+    "poured_pieces": _FEATURES + """select board_id::varchar board, c.pour_id, c.net, layer, case when coalesce(hz.holes, 0) > 0 then 'poured' else 'border' end source, coalesce(hz.holes, 0) holes, round(abs(a), 2) area
+      from (select pour_id, board_id, net, layer from c where len(vertices) >= 3 and net <> '') c join ga using (pour_id, board_id, net, layer) left join hz on hz.pour_id = c.pour_id""",
+    "outer_layers": _CTE + "select board_id::varchar board, layer_id, layer_id = (select min(layer_id) from lm) or layer_id = (select max(layer_id) from lm) is_outer from (select distinct board_id from v where board_id is not null), lm",
 }

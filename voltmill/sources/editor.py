@@ -25,7 +25,11 @@ SNAPSHOT = """struct<
  vias:array<struct<id:string,net:string,x:double,y:double,diameter:double,holeDiameter:double>>,
  lines:array<struct<id:string,net:string,layer:int,startX:double,startY:double,endX:double,endY:double,width:double>>,
  pads:array<struct<id:string,net:string,layer:int,x:double,y:double,holeDiameter:double,padNumber:string,refDes:string>>,
- pours:array<struct<id:string,net:string,layer:int,polygon:string>>>"""
+ pours:array<struct<id:string,net:string,layer:int,polygon:string>>,
+ fills:array<struct<id:string,net:string,layer:int,polygon:string>>,
+ poured:array<struct<pour_id:string,fills:array<struct<path:string,points:array<struct<x:double,y:double>>,lineWidth:double>>>>>"""
+#: Fixed value: the paths of poured copper count in units of this many mil.
+POURED_UNIT = 10.0
 
 
 def _circle(x: float, y: float, r: float) -> list[tuple[float, float]]:
@@ -104,6 +108,57 @@ def decoded_rings(paths: pd.Series) -> pd.Series:
     return paths.map(lambda t: [[{"x": x * MIL, "y": y * MIL} for x, y in ring] for ring in path_rings(t)])
 
 
+def fill_rings(path: str | None, points: list | None, width: float | None) -> list[list[tuple[float, float]]]:
+    """Rings in mil of a piece of poured copper: its path in ``POURED_UNIT``, or else its points in mil, the first ring
+    being the outline. Two points with a width are a rectangle."""
+    if path:
+        rings = path_rings(path)
+        try:
+            flat = json.loads(path)
+        except ValueError:
+            flat = []
+        ends = [v for v in flat if isinstance(v, (int, float))] if isinstance(flat, list) else []
+        pair = [tuple(ends[:2]), tuple(ends[2:])] if not rings and len(ends) == 4 else []
+        unit = POURED_UNIT
+    else:
+        ring = [(q["x"], q["y"]) for q in (points if points is not None else []) if q and q["x"] is not None and q["y"] is not None]
+        rings, pair, unit = ([ring] if len(ring) >= 3 else []), (ring if len(ring) == 2 else []), 1.0
+    if pair and width and width > 0:
+        (ax, ay), (bx, by) = pair
+        length = math.hypot(bx - ax, by - ay)
+        if length > 1e-10:
+            u, v = -(by - ay) / length * width / 2, (bx - ax) / length * width / 2
+            rings = [[(ax + u, ay + v), (bx + u, by + v), (bx - u, by - v), (ax - u, ay - v)]]
+    return [[(x * unit, y * unit) for x, y in ring] for ring in rings]
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))))
+def decoded_fills(paths: pd.Series, points: pd.Series, widths: pd.Series) -> pd.Series:
+    """``fill_rings`` in millimetres, for columns."""
+    return pd.Series([[[{"x": x * MIL, "y": y * MIL} for x, y in ring] for ring in fill_rings(a, b, c)] for a, b, c in zip(paths, points, widths)], dtype=object)
+
+
+def poured_copper(snapshots: DataFrame) -> DataFrame:
+    """``(board, id, net, layer, source, rings)``: copper of static fills (``fill``) and of pours as they were poured
+    (``poured``), each piece on its own; a pour that was poured without any piece is its border (``border``). Pours that
+    were never poured, and those without net, give no copper. Lengths become millimetres."""
+    rows = lambda name: snapshots.select("board", F.explode(f"s.{name}").alias("m")).select("board", "m.*")
+    named = lambda df: df.filter("trim(net) <> ''")
+    whole = lambda df, source: df.select("board", "id", "net", "layer", F.lit(source).alias("source"), decoded_rings("polygon").alias("rings"))
+    met = named(rows("pours")).join(rows("poured").withColumnRenamed("pour_id", "id"), ["board", "id"])
+    pieces = met.select("board", "id", "net", "layer", F.explode("fills").alias("f"))
+    pieces = pieces.select("board", "id", "net", "layer", F.lit("poured").alias("source"), decoded_fills("f.path", "f.points", "f.lineWidth").alias("rings"))
+    every = whole(named(rows("fills")), "fill").unionByName(pieces).unionByName(whole(met.filter("size(fills) = 0"), "border"))
+    return every.filter("size(rings) > 0 and size(rings[0]) >= 3")
+
+
+def outer_layers(layers: DataFrame) -> DataFrame:
+    """``layers (board, layer_id, ...)`` of copper with ``is_outer``: the least and the greatest number of each board."""
+    copper = layers.filter(F.col("layer_id").isin(*COPPER_LAYERS))
+    ends = copper.groupBy("board").agg(F.min("layer_id").alias("_first"), F.max("layer_id").alias("_last"))
+    return copper.join(ends, "board").withColumn("is_outer", (F.col("layer_id") == F.col("_first")) | (F.col("layer_id") == F.col("_last"))).drop("_first", "_last")
+
+
 def parse_snapshots(texts: DataFrame) -> DataFrame:
     """``(board, s)`` of ``(board, value)``; text that is no JSON gives no row."""
     return texts.select("board", F.from_json("value", SNAPSHOT).alias("s")).filter("s is not null")
