@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltmill.functions import geometry as geo
-from voltmill.sources.config import config_tables, read_configs, target_nets
-from voltmill.sources.editor import fill_rings, path_rings, read_snapshots, run_config, snapshot_tables
+from voltmill.sources.config import config_tables, parse_configs, read_configs, target_nets
+from voltmill.sources.editor import fill_rings, path_rings, read_snapshots, run_config, snapshot_tables, via_layers
 from voltmill.sources.odb import archive_files, board_polygons, drills, features, net_references, surface_rings
 
 FILES = {
@@ -87,6 +87,23 @@ def test_snapshot_and_run_config(spark, tmp_path):
     assert config["gnd_net"] == "GND" and config["rails"][0]["current"] == pytest.approx(0.5)
     assert [x["layer_id"] for x in config["layers"]] == [1, 2] and config["layers"][0]["conductance"] == pytest.approx(2082.5)
     assert len(config["pads"]) == 1 and config["pads"][0]["is_tht"]
+    end = ("s.json", "3V3", "source", False, "U1", "TopLayer", 1.0, 2.0)
+    ends = spark.createDataFrame([end, (*end[:3], True, "U1", None, 3.0, 4.0), (*end[:2], "load", False, "U2", None, 5.0, 6.0)], "board string, net string, kind string, is_ground boolean, ref_des string, layer string, x double, y double")
+    text = run_config(tables, layers, rails, ends, 20.0).selectExpr("board as run", "config as value")
+    back = config_tables(parse_configs(text))
+    assert {r.kind: (r.want_net, r.layer, r.x, r.is_tht) for r in back["terminals"].filter("not is_ground").collect()} == {"source": ("3V3", "TopLayer", 1.0, False), "load": ("3V3", None, 5.0, True)}
+    assert back["terminals"].filter("is_ground").first().want_net == "GND" and back["loads"].first().current == pytest.approx(0.5)
+    assert [r.layer_names for r in back["vias"].collect()] == [["TopLayer", "BottomLayer"]] and back["tracks"].count() == 1 and back["copper_pours"].count() == 1
+    run = back["runs"].first()
+    assert run.temp_rise == 20.0 and run.bounds.maxX == pytest.approx(2.54) and {r.layer: r.thickness for r in back["thickness"].collect()} == {"TopLayer": 0.035, "BottomLayer": 0.035}
+
+
+def test_layers_of_vias(spark):
+    rows = [(None,), ("Blind: Top-Inner1",), ("Buried: Inner2 - Inner1",), ("Blind: Inner2-Bottom",), ("Blind: Nowhere-Bottom",), ("strange",)]
+    names = F.array(*map(F.lit, ("Top Layer", "Inner1", "Inner2", "Bottom Layer")))
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(via_layers(F.col("t"), names)).collect()]
+    every = ["Top Layer", "Inner1", "Inner2", "Bottom Layer"]
+    assert got == [every, every[:2], every[1:3], every[2:], every, every]
 
 
 def test_pieces_of_poured_copper():

@@ -10,11 +10,11 @@ import json
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.electrical import MIL, is_ground, sheet_conductance
+from ..functions.electrical import COPPER, MIL, is_ground, sheet_conductance
 
 # Default widths and diameters in mil, the layer number that means all layers, and copper layer numbers.
 DEFAULTS = {"width": 10.0, "diameter": 23.622, "hole": 11.811, "pad": 23.622}
@@ -22,7 +22,7 @@ ALL_LAYERS = 12
 COPPER_LAYERS = (1, 2, *range(15, 45))
 
 SNAPSHOT = """struct<
- vias:array<struct<id:string,net:string,x:double,y:double,diameter:double,holeDiameter:double>>,
+ vias:array<struct<id:string,net:string,x:double,y:double,diameter:double,holeDiameter:double,viaType:string>>,
  lines:array<struct<id:string,net:string,layer:int,startX:double,startY:double,endX:double,endY:double,width:double>>,
  pads:array<struct<id:string,net:string,layer:int,x:double,y:double,holeDiameter:double,padNumber:string,refDes:string>>,
  pours:array<struct<id:string,net:string,layer:int,polygon:string>>,
@@ -179,7 +179,7 @@ def snapshot_tables(snapshots: DataFrame) -> dict[str, DataFrame]:
         picked = df.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(key)]).agg(F.min(F.struct(*df.columns[1:2], *[c for c in df.columns if c != "no"])).alias("m"))
         return picked.select("m.*")
 
-    vias = rows("vias").select("board", "no", "net", mm("x").alias("x"), mm("y").alias("y"), mm("diameter", DEFAULTS["diameter"]).alias("diameter"), mm("holeDiameter", DEFAULTS["hole"]).alias("hole_diameter"))
+    vias = rows("vias").select("board", "no", "net", mm("x").alias("x"), mm("y").alias("y"), mm("diameter", DEFAULTS["diameter"]).alias("diameter"), mm("holeDiameter", DEFAULTS["hole"]).alias("hole_diameter"), F.col("viaType").alias("via_type"))
     pads = rows("pads").select("board", "no", "net", mm("x").alias("x"), mm("y").alias("y"), F.nullif("layer", F.lit(ALL_LAYERS)).alias("layer"), (F.coalesce("holeDiameter", F.lit(0.0)) * MIL).alias("hole_diameter"), F.col("padNumber").alias("pad_number"), F.col("refDes").alias("ref_des"))
     pads = pads.withColumn("is_tht", F.col("layer").isNull() | (F.col("hole_diameter") > 0))
     tracks = rows("lines").filter(F.col("layer").isin(*COPPER_LAYERS)).select("board", "no", "net", "layer", *[mm(a).alias(b) for a, b in (("startX", "x1"), ("startY", "y1"), ("endX", "x2"), ("endY", "y2"))], mm("width", DEFAULTS["width"]).alias("width")).dropna(subset=["x1", "y1", "x2", "y2"])
@@ -200,21 +200,58 @@ def ground_net(tables: dict[str, DataFrame], rails: DataFrame) -> DataFrame:
 def layer_table(layers: DataFrame) -> DataFrame:
     """Layers with their place in the stack (bottom, id 2, last) and sheet conductance from the copper thickness."""
     order = F.when(F.col("layer_id") == 2, 1_000_000).otherwise(F.col("layer_id"))
-    return layers.filter(F.col("layer_id").isin(*COPPER_LAYERS)).withColumn("rank", order).withColumn("conductance", sheet_conductance(F.col("thickness")))
+    return layers.filter(F.col("layer_id").isin(*COPPER_LAYERS)).withColumn("rank", order).withColumn("conductance", sheet_conductance(F.col("thickness"))).withColumn("thickness", F.coalesce("thickness", F.lit(COPPER)))
 
 
-def run_config(tables: dict[str, DataFrame], layers: DataFrame, rails: DataFrame) -> DataFrame:
-    """``(board, config)``: one JSON run configuration per board, of the vias and pads on the nets under analysis.
+def via_layers(via_type: Column, names: Column) -> Column:
+    """The layers a via joins, of the ``names`` from top to bottom: those between the two that the text of a blind or
+    buried via tells (by a part of their names), or else all."""
+    pattern = r"(?:Blind|Buried):\s*([^\s-]+)\s*-\s*([^\s-]+)"
 
-    ``rails (board, net, voltage, current)``; a rail's current is the sum over its rows.
+    def place(group: int) -> Column:
+        told = F.lower(F.regexp_extract(via_type, pattern, group))
+        fits = lambda n: F.contains(F.lower(n), told) | F.contains(told, F.replace(F.lower(n), F.lit(" layer"), F.lit("")))
+        at = F.filter(F.transform(names, lambda n, i: F.when(fits(n), i)), lambda i: i.isNotNull())
+        return F.when(told != "", F.get(at, F.lit(0)))
+
+    first, last = F.least(place(1), place(2)), F.greatest(place(1), place(2))
+    return F.when(place(1).isNotNull() & place(2).isNotNull(), F.slice(names, first + 1, last - first + 1)).otherwise(names)
+
+
+def run_config(tables: dict[str, DataFrame], layers: DataFrame, rails: DataFrame, ends: DataFrame | None = None, temp_rise: float = 10.0) -> DataFrame:
+    """``(board, config)``: one JSON run configuration per board, as ``sources.config`` reads it.
+
+    ``rails (board, net, voltage, current)``; a rail's current is the sum over its rows. ``ends (board, net, kind,
+    is_ground, ref_des, layer, x, y)`` are the terminals of the ``source`` and ``load`` of each rail, those without layer
+    going through the board; a rail without any of a kind has none. Vias and pads are those on the nets under analysis,
+    the box is that of all. ``layers (board, layer_id, name, thickness)``.
     """
     ground = ground_net(tables, rails)
     nets = rails.select("board", "net").distinct().unionByName(ground.select("board", F.col("ground").alias("net")))
     on_nets = lambda name: tables[name].join(nets, ["board", "net"], "left_semi")
     gather = lambda df, name: df.groupBy("board").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "board"]))).alias(name))
     demand = rails.groupBy("board", "net").agg(F.max("voltage").alias("voltage"), F.sum("current").alias("current"))
-    stack = layer_table(layers).select("board", F.col("rank").alias("position"), "name", "conductance", "layer_id")
-    parts = ground
-    for df, name in ((on_nets("vias").select("board", "net", "x", "y", "hole_diameter", "diameter"), "vias"), (on_nets("pads").select("board", "net", "x", "y", "layer", "is_tht", "hole_diameter"), "pads"), (stack, "layers"), (demand, "rails")):
+    table = layer_table(layers)
+    stack = table.select("board", F.col("rank").alias("position"), "name", "conductance", "layer_id", "thickness")
+    names = stack.groupBy("board").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda s: s.getField("name")).alias("names"))
+    by_id = table.select("board", F.col("layer_id").alias("layer"), F.col("name").alias("layer_name"))
+    vias = on_nets("vias").join(names, "board", "left").select("board", "net", "x", "y", "hole_diameter", "diameter", "via_type", via_layers(F.col("via_type"), F.col("names")).alias("layer_names"))
+    pads = on_nets("pads").join(by_id, ["board", "layer"], "left").select("board", "net", "x", "y", F.col("layer_name").alias("layer"), "is_tht", "hole_diameter", F.col("pad_number").alias("pin_name"))
+    pours = tables["pours"].select("board", "net", "layer", "vertices")
+    every = tables["pads"].select("board", "x", "y").unionByName(tables["vias"].select("board", "x", "y"))
+    box = every.groupBy("board").agg(F.struct(F.min("x").alias("minX"), F.min("y").alias("minY"), F.max("x").alias("maxX"), F.max("y").alias("maxY")).alias("bounds"))
+    copper = stack.groupBy("board").agg(F.map_from_entries(F.collect_list(F.struct("name", "thickness"))).alias("layer_cu_thickness"))
+
+    parts = ground.join(box, "board", "left").join(copper, "board", "left")
+    for df, name in ((vias, "vias"), (pads, "pads"), (stack.drop("thickness"), "layers"), (demand, "rails"), (tables["tracks"], "tracks"), (pours, "copper_pours")):
         parts = parts.join(gather(df, name), "board", "left")
-    return parts.select("board", F.to_json(F.struct(F.col("ground").alias("gnd_net"), "layers", "vias", "pads", "rails")).alias("config"))
+    members = ["layers", "vias", "pads", "tracks", "copper_pours", "rails", "bounds", "layer_cu_thickness"]
+    if ends is not None:
+        pad = F.struct("ref_des", "x", "y", "layer", F.when(F.col("is_ground"), F.col("ground")).otherwise(F.col("net")).alias("net"), F.col("layer").isNull().alias("is_tht"))
+        wired = ends.join(ground, "board").groupBy("board", "net", "kind", "ground").agg(F.sort_array(F.collect_list(F.when(~F.col("is_ground"), pad))).alias("pads"), F.sort_array(F.collect_list(F.when(F.col("is_ground"), pad))).alias("gnd_pads"))
+        wired = wired.filter("size(pads) > 0").join(demand, ["board", "net"])
+        for kind, value in (("source", "voltage"), ("load", "current")):
+            one = wired.filter(F.col("kind") == kind).select("board", "net", value, F.col("ground").alias("gnd_net"), "pads", "gnd_pads")
+            parts = parts.join(gather(one, f"{kind}s"), "board", "left")
+            members.append(f"{kind}s")
+    return parts.select("board", F.to_json(F.struct(F.col("ground").alias("gnd_net"), F.lit(float(temp_rise)).alias("temp_rise"), *members)).alias("config"))
