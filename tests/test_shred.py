@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from voltmill.operators import shred as shredding
 from voltmill.operators.shred import ANALYSIS, MANY, ONE, Child, Element, inline, parse, shred
 
 
@@ -81,3 +82,26 @@ def test_recursion(spark):
     rows = {r.name: r for r in shred(docs, "id", "v", graph, "doc")["node"].collect()}
     assert set(rows) == {"a", "b", "c", "d"}
     assert rows["a"].parent_path is None and rows["d"].parent_path == rows["c"].node_path and rows["c"].position == 2
+
+
+def test_large_documents_are_cut(spark, monkeypatch):
+    """Documents beyond the parser's size give the same tables, in all their forms."""
+    usual = {"success": True, "message": "m", "solver_info": {"residual_norm": 0.5}, "layer_solutions": [None, {"layer_name": "Top", "meshes": [None, MESH, json.dumps(MESH)], "disconnected_meshes": MESH}, json.dumps({"layer_name": "B", "meshes": [MESH]})]}
+    payloads = [json.dumps(p) for p in (usual, {"result": usual}, usual["layer_solutions"], {"result": json.dumps(usual)}, {**usual, "success": False})] + ["log: " + json.dumps(usual), json.dumps(usual)[:-20], None, "", "   "]
+    frame = spark.createDataFrame(list(enumerate(payloads)), "solution_id long, payload string")
+
+    def all_tables():
+        cut = shredding.cut_large(frame, "solution_id", "payload", "result", "layer_solutions", ("meshes", "disconnected_meshes"), ("success",))
+        out = {}
+        for kind, names in (("head", {"analysis", "layer"}), ("part", {"mesh", "vertex", "triangle"})):
+            docs = cut.filter(f"kind is null or kind = '{kind}'").select("solution_id", parse("payload", "result", "layer_solutions").alias("v"))
+            out |= {n: sorted(map(str, t.collect())) for n, t in shred(docs, "solution_id", "v", ANALYSIS, "analysis", names).items()}
+        return out
+
+    whole = all_tables()
+    assert whole["triangle"] and whole["layer"] and whole["analysis"]
+    monkeypatch.setattr(shredding, "LARGE", 100)
+    assert all_tables() == whole
+    monkeypatch.setattr(shredding, "LARGEST", 50)
+    with pytest.raises(Exception, match="more than can be parsed"):
+        all_tables()

@@ -38,3 +38,21 @@ def test_components_and_labels(spark):
     assert {r.node: r.component for r in components(nodes, edges).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7}
     assert {r.node: r.resolved for r in propagated(nodes, edges, "label").collect()} == {0: "a", 1: "a", 2: "a", 3: "b", 4: "c", 5: None, 6: None, 7: None}
     assert components(nodes.filter("false"), edges.filter("false")).count() == 0
+
+
+def test_one_giant_component_is_split(spark):
+    """Where the votes of components join, the rows of one that holds nearly all nodes are spread over several tasks."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20kb", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20kb", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.files.maxPartitionBytes": "20kb", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    nodes = spark.range(0, 600_000, numPartitions=4).selectExpr("id as node", "cast(if(id = 7, 'a', null) as string) as label")
+    edges = spark.range(1, 590_000).selectExpr("0L as a", "id as b")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        done = propagated(nodes, edges, "label")
+        assert done.filter("resolved = 'a'").count() == 590_000
+        done.collect()
+        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -18,8 +18,11 @@ come in another form than usual: a lone object for a list of one, JSON text for
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,6 +167,69 @@ def parse(text: str, wrapper: str, member: str) -> Column:
     return F.expr(_let(inner, "l", f"case when {_get('l', '', 'array<variant>')} is not null then {listed} else l end"))
 
 
+# --- documents beyond the parser's size ---------------------------------------------------------------------------
+
+#: Characters from which a document is cut before it is parsed, and the most that one piece may have.
+LARGE, LARGEST = 8_000_000, 24_000_000
+
+
+def _spelt(value):  # noqa: ANN001, ANN202
+    """A JSON value, or what it spells if it is JSON text; null if it spells nothing."""
+    if isinstance(value, str):
+        try:
+            return json.loads(value)
+        except ValueError:
+            return None
+    return value
+
+
+def _listed(value) -> list:  # noqa: ANN001
+    value = _spelt(value)
+    return value if isinstance(value, list) else [value] if isinstance(value, dict) else []
+
+
+def pieces(text: str, wrapper: str, member: str, parts: tuple[str, ...], common: tuple[str, ...]) -> list[tuple[str, str]]:
+    """``(kind, text)`` of a document: its ``head`` without the lists ``parts`` of its ``member``s, and each entry of
+    those lists as a ``part``, a document of its own in which null entries keep the place. Nothing if it is no JSON."""
+    start = re.search(r'[\[{"]', text)
+    document = _spelt(text[start.start() :]) if start else None
+    document = _spelt(document)
+    if isinstance(document, dict) and document.get(wrapper) is not None:
+        inner = _spelt(document[wrapper])
+        document = inner if isinstance(inner, (dict, list)) else document
+    if isinstance(document, list):
+        document = {member: document}
+    if not isinstance(document, dict):
+        return []
+    shared = {c: document[c] for c in common if c in document}
+    heads, out = [], []
+    for i, entry in enumerate(_listed(document.get(member))):
+        entry = _spelt(entry)
+        heads.append({k: v for k, v in entry.items() if k not in parts} if isinstance(entry, dict) else None)
+        for role in parts if isinstance(entry, dict) else ():
+            out += [("part", json.dumps({**shared, member: [None] * i + [{role: [None] * j + [one]}]})) for j, one in enumerate(_listed(entry.get(role)))]
+    return [("head", json.dumps({**document, member: heads})), *out]
+
+
+def cut_large(documents: DataFrame, key: str, text: str, wrapper: str, member: str, parts: tuple[str, ...], common: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, text, kind)``: documents as they are (``kind`` null), or, if they have more than ``LARGE`` characters, in
+    ``pieces``, since the parser gives null beyond its size. Raises if one piece is beyond ``LARGEST``."""
+
+    @F.pandas_udf("array<struct<kind:string,text:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        out = [None if value is None else pieces(value, wrapper, member, parts, common) for value in texts]
+        longest = max((len(piece) for found in out if found for _, piece in found), default=0)
+        if longest > LARGEST:
+            raise ValueError(f"a part of a document has {longest} characters, more than can be parsed")
+        return pd.Series(out, dtype=object)
+
+    # Python sees the large ones only.
+    found = cut(F.when(F.length(text) > LARGE, F.col(text)))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.col(text).alias("text")))
+    rows = documents.select(key, F.inline(F.coalesce(found, whole)))
+    return rows.select(key, F.col("text").alias(text), "kind")
+
+
 # --- shredding ----------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.orphans import orphans
-from ..operators.shred import ANALYSIS, parse, shred
+from ..operators.shred import ANALYSIS, cut_large, parse, shred
 from ..operators.spatial import near_or_inside
 from ..tables import known, layer_key, layer_keys, micros, once_per_key, table
 
@@ -15,13 +15,23 @@ PAD_REACH = 0.25
 MIL = 0.0254
 
 
+HEADS, PARTS = {"analysis", "diagnostic", "layer"}, {"mesh", "tag", "vertex", "triangle"}
+
+
 def solution_tables(spark: SparkSession, folder: str, want: set[str] | None = None) -> dict[str, DataFrame]:
     """The flat tables of the analysis responses. A failed analysis has its own row and no layers."""
-    once = once_per_key(table(spark, folder, "solutions"), "solution_id", "payload")
-    parsed = once.select("solution_id", parse("payload", "result", "layer_solutions").alias("response"))
+    once = cut_large(once_per_key(table(spark, folder, "solutions"), "solution_id", "payload"), "solution_id", "payload", "result", "layer_solutions", ("meshes", "disconnected_meshes"), ("success",))
+    parsed = once.select("solution_id", "kind", parse("payload", "result", "layer_solutions").alias("response"))
     failed = F.coalesce(~F.try_variant_get("response", "$.success", "boolean"), F.lit(False))
-    kept = parsed if want == {"analysis"} else parsed.filter(~failed)
-    return shred(kept, "solution_id", "response", ANALYSIS, "analysis", want)
+    # The heads of documents that were cut have the first tables, their parts the others.
+    tables: dict[str, DataFrame] = {}
+    for names, kind in ((HEADS, "head"), (PARTS, "part")):
+        wanted = names if want is None else names & want
+        own = parsed.filter(F.col("kind").isNull() | (F.col("kind") == kind))
+        for group, kept in (({"analysis"}, own), (names - {"analysis"}, own.filter(~failed))):
+            if wanted & group:
+                tables |= shred(kept.drop("kind"), "solution_id", "response", ANALYSIS, "analysis", wanted & group)
+    return tables
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

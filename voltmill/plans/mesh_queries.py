@@ -66,6 +66,21 @@ QUERIES = {f.__name__: f for f in (mesh_coverage, mesh_loops, pour_widths, merge
 _SIDE = "(({q}x - {p}x) * (y - {p}y) - ({q}y - {p}y) * (x - {p}x))"
 _A, _B, _C = (_SIDE.format(p=p, q=q) for p, q in (("a", "b"), ("b", "c"), ("c", "a")))
 
+_EDGE = "sqrt((px - (ax + t * (bx - ax))) ** 2 + (py - (ay + t * (b_y - ay))) ** 2)"
+_ALONG = "greatest(0, least(1, coalesce(((px - ax) * (bx - ax) + (py - ay) * (b_y - ay)) / nullif((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay), 0), 0)))"
+#: Twice the least distance from the edges among the points of a grid inside each ring.
+WIDTHS = f"""
+with c as (select distinct on (pour_id) * from copper_pours where len(vertices) >= 3 and net <> ''),
+rg as (select pour_id, board_id, net, layer, 0 ring, vertices v from c union all select pour_id, board_id, net, layer, i, holes[i] from (select *, unnest(range(1, len(holes) + 1)) i from c) where len(holes[i]) >= 3),
+ed as (select pour_id, ring, v[i].x ax, v[i].y ay, v[i % len(v) + 1].x bx, v[i % len(v) + 1].y b_y from (select *, unnest(range(1, len(v) + 1)) i from rg)),
+bo as (select pour_id, ring, min(ax) x0, max(ax) x1, min(ay) y0, max(ay) y1 from ed group by 1, 2 having max(ax) > min(ax) and max(ay) > min(ay)),
+gr as (select pour_id, ring, i, j, x0 + (x1 - x0) * i / {CELLS} px, y0 + (y1 - y0) * j / {CELLS} py from bo, range({CELLS + 1}) a(i), range({CELLS + 1}) b(j)),
+al as (select g.pour_id, g.ring, g.i, g.j, px, py, ax, ay, bx, b_y, {_ALONG} t from gr g join ed using (pour_id, ring)),
+fa as (select pour_id, ring, i, j, sum(case when (ay > py) <> (b_y > py) and px < ax + (py - ay) * (bx - ax) / (b_y - ay) then 1 else 0 end) % 2 = 1 inside, min({_EDGE}) d from al group by 1, 2, 3, 4),
+le as (select pour_id, min(d) d from fa where inside and d > 1e-9 group by 1)
+select board_id, net, layer, round(min(case when d is null then 0.2 else least(greatest(2 * d, 0.05), 10) end), 4) width from c left join le using (pour_id) group by 1, 2, 3
+"""
+
 ORACLES = {
     "mesh_coverage": CORNERS
     + f""", b as (select solution_id, layer_no, mesh_no, min(least(ax, bx, cx)) x0, max(greatest(ax, bx, cx)) x1, min(least(ay, b_y, cy)) y0, max(greatest(ay, b_y, cy)) y1 from t group by 1, 2, 3),
@@ -79,4 +94,5 @@ ORACLES = {
       one as (select solution_id, layer_no, mesh_no, a, b from ed group by all having count(*) = 1),
       e2 as (select solution_id, layer_no, mesh_no, v, count(*) n from (select solution_id, layer_no, mesh_no, a v from one union all select solution_id, layer_no, mesh_no, b from one) group by all)
       select solution_id, layer_no, mesh_no, (sum(n) // 2)::bigint edges, count(*) vertices, count(*) filter (where n > 2) crossings from e2 group by 1, 2, 3""",
+    "pour_widths": WIDTHS,
 }

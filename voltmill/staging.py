@@ -40,13 +40,13 @@ class Stage:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/voltmill/{name}-{uuid.uuid4().hex}"
         self.seen: dict[str, object] = {}
-        self._files().deleteOnExit(self._place())
         if watched:
             observation = Observation()
             df.observe(observation, *[c.alias(n) for n, c in watched.items()]).write.parquet(self.path)
             self.seen = observation.get
         else:
             df.write.parquet(self.path)
+        self._files().deleteOnExit(self._place())  # of what exists only
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def _place(self):  # noqa: ANN202

@@ -40,6 +40,12 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` partitioned by ``keys`` into as many partitions as the session shuffles to. For grouped functions that
+    work long on few bytes: adaptive execution, which only sees the bytes, would put them all into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 #: Bits of the sketch of repeated keys, 2**26: a broadcast of 8 MB at most.
 SKETCH_BITS = 1 << 26
 
