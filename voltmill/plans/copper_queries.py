@@ -5,8 +5,6 @@ Each query has its SQL, which computes the same by closed formulas or by compari
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -279,27 +277,6 @@ def pour_meshes(spark: SparkSession, folder: str) -> DataFrame:
     return spread(ringed_pours(spark, folder).select("pour_id", "rings"), "pour_id").mapInArrow(run, "pour_id long, meshed boolean, clipped boolean")
 
 
-def grown_pours(spark: SparkSession, folder: str, distance: float = 0.1) -> DataFrame:
-    """Pours grown, shrunk and closed: growing adds at most the perimeter times the distance and a circle."""
-
-    def run(batches):  # noqa: ANN001, ANN202
-        size = lambda ps: sum(abs(polygons.area(np.array(q[0]))) - sum(abs(polygons.area(np.array(h))) for h in q[1:]) for q in ps)
-        around = lambda ps: sum(float(np.hypot(*(np.roll(np.array(ring), -1, axis=0) - np.array(ring)).T).sum()) for q in ps for ring in q)
-        for batch in batches:
-            out = []
-            for rings in batch.column("rings").to_pylist():
-                whole = polygons.boolean(polygons._plain(rings), [], "union")
-                flat = [ring for q in whole for ring in q]
-                one, most = size(whole), around(whole) * distance + math.pi * distance**2 * sum(len(q) for q in whole)
-                more, less, shut = size(polygons.offset(flat, distance)), size(polygons.offset(flat, -distance)), size(polygons.closed(flat, distance))
-                near = 1e-6 * (1 + one)
-                out.append((one - near <= more <= one + most + near, one - most - near <= less <= one + near, one - near <= shut <= more + near))
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("pour_id"), *(pa.array(c, pa.bool_()) for c in columns)], ["pour_id", "grown", "shrunk", "closed"])
-
-    return spread(ringed_pours(spark, folder).select("pour_id", "rings"), "pour_id").mapInArrow(run, "pour_id long, grown boolean, shrunk boolean, closed boolean")
-
-
 def _areas(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("run", "layer").agg(F.sum(geo.polygon_area("rings")).alias(name))
 
@@ -318,19 +295,6 @@ def clipped_layers(spark: SparkSession, folder: str) -> DataFrame:
     return met.select("run", "layer", (F.abs(F.col("same") - F.col("before")) <= near).alias("kept"), ((F.col("less") <= F.col("before") + near) & (F.col("less") >= 0.1 * F.col("before") - near)).alias("cut"))
 
 
-def drilled_layers(spark: SparkSession, folder: str) -> DataFrame:
-    """Copper of a layer less the holes of its vias: smaller by at most the area of the holes."""
-    keys = ["run", "layer", "net"]
-    p = pour_copper(spark, folder).select(*keys, "rings")
-    vias = once(spark, folder, "vias", "board_id", "x", "y", "hole_diameter", "layer_names").filter(finite("x") & finite("y") & finite("hole_diameter") & (F.col("hole_diameter") > 0))
-    holes = vias.select(F.col("board_id").alias("run"), F.explode(layer_keys("layer_names")).alias("layer"), F.array(geo.circle(F.col("x"), F.col("y"), F.col("hole_diameter") / 2, 32)).alias("rings")).join(p.select("run", "layer").distinct(), ["run", "layer"], "left_semi")
-    met = _areas(polygons.combine_groups(p, keys), "before").join(_areas(polygons.less_holes(p, holes, keys, "layer"), "after"), ["run", "layer"], "left")
-    nets = p.select(*keys).distinct().groupBy("run", "layer").agg(F.count("*").alias("nets"))
-    met = met.join(_areas(holes, "holes"), ["run", "layer"], "left").join(nets, ["run", "layer"])
-    near = 1e-3 + 1e-6 * F.col("before")
-    return met.select("run", "layer", ((F.col("after") <= F.col("before") + near) & (F.col("after") >= F.col("before") - F.coalesce("holes", F.lit(0.0)) * F.col("nets") - near)).alias("drilled"))
-
-
 def orientation_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Per board 1 for each pour whose pads agree on a net, -2 for each where they differ."""
     return copper.orientation_score(pour_copper(spark, folder), _pads(spark, folder))
@@ -356,7 +320,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fitted_transforms, pour_segments, pour_centres, overlapping_boxes, oriented_pours, pad_shapes, pour_arcs, simplified_pours, matching_nets, rail_vias, run_plan, copper_hits, touching_pours,
-        adjacent_pours, via_links, pour_nets, relabelled_pours, fed_pours, nearest_copper, snap_reasons, pour_booleans, pour_meshes, boundary_polygons, layer_outlines, grown_pours, clipped_layers, drilled_layers, orientation_scores,
+        adjacent_pours, via_links, pour_nets, relabelled_pours, fed_pours, nearest_copper, snap_reasons, pour_booleans, pour_meshes, boundary_polygons, layer_outlines, clipped_layers, orientation_scores,
     )
 }
 
@@ -476,8 +440,6 @@ ORACLES = {
     "pour_meshes": _RINGS + "select pour_id, true meshed, true clipped from c where len(vertices) >= 3",
     "boundary_polygons": _RINGS + "select pour_id, layer, coalesce(net, '') net, max(case when ring = 0 then len(v) end) outline_points, count(*) - 1 holes, sum(len(v))::bigint points from rg group by all",
     "layer_outlines": _RINGS + "select run, layer, count(*) pours, true at_most, true at_least from cc group by 1, 2",
-    "grown_pours": _CTE + "select pour_id, true grown, true shrunk, true closed from c where len(vertices) >= 3",
     "clipped_layers": _RINGS + "select distinct run, layer, true kept, true cut from cc",
-    "drilled_layers": _RINGS + "select distinct run, layer, true drilled from cc",
     "orientation_scores": _RINGS + f"""select run, sum(s)::bigint score from (select cc.run, pour_id, case when min(pd.net) = max(pd.net) then 1 else -2 end s from ({_hits('pd', 'pad_id', 0)}) h join pd using (pad_id) join cc using (pour_id) where pd.net is not null group by 1, 2) group by 1""",
 }
