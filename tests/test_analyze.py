@@ -77,3 +77,11 @@ def test_budgets(spark):
     assert set(counts) == {"a", "b"} and max(counts.values()) <= 200 and t.count() > 50
     shown, _ = shown_meshes(copper, copper.filter("poly = 'p'"), 1.0, most=60)
     assert {r.poly for r in shown.select("poly").distinct().collect()} == {"q"}
+
+
+def test_the_answer_reads_written_tables(solved):
+    """What the answer joins is computed before, so that its own plan stays small."""
+    for name in ("triangles", "warnings", "diagnostics"):
+        assert "Join" not in str(solved[name]._jdf.queryExecution().optimizedPlan()), name
+    for name in ("shown", "shown_triangles"):
+        assert "MapInArrow" not in str(solved[name]._jdf.queryExecution().optimizedPlan()), name
